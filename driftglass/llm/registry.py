@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from driftglass.llm import exact_dedup, toxicity
+from driftglass.llm import exact_dedup, ngram_join, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 
 ORACLES = {
+    "op3_ngram_jaccard_join": ngram_join.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }
