@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations, product
+from itertools import combinations
 from math import factorial
 
 from pyspark.sql import Column, DataFrame
@@ -93,12 +93,12 @@ def build_arms(factors: list[str], mode: str = "auto", only: list[str] | None =
     """Assignments factor -> A or B: the whole lattice for three factors or fewer, else one at a time and known pairs."""
     names = sorted(factors)
     free = [f for f in names if only is None or f in only]
-    if mode == "full" or len(names) <= 3:
-        made = [dict(zip(names, sides, strict=True)) for sides in product("AB", repeat=len(names))]
-        return [a for a in made if all(a[f] == "B" or f in free for f in names) or set(a.values()) == {"A"}]
     base = dict.fromkeys(names, "B")
-    made = [base, dict.fromkeys(names, "A")] + [base | {f: "A"} for f in free]
-    made += [base | {x: "A", y: "A"} for x, y in PAIRS if x in free and y in free]
+    at_a = lambda chosen: base | dict.fromkeys(chosen, "A")
+    if mode == "full" or len(names) <= 3:
+        made = [at_a(c) for n in range(len(free) + 1) for c in combinations(free, n)]
+    else:
+        made = [base, *(at_a([f]) for f in free), *(at_a(p) for p in PAIRS if set(p) <= set(free)), at_a(free)]
     return list({ids.arm_key(a): a for a in made}.values())
 
 

@@ -50,13 +50,12 @@ def r(c, digits: int = DIGITS):
     return F.round(c, digits)
 
 
-PATH = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
 SQL_PATH = "source || '/' || doc_id::VARCHAR"
 PATHED = f"paths AS (SELECT *, {SQL_PATH} AS path, 'doc_' || substr(sha256(text), 1, 16) AS doc_key FROM documents)"
 
 
 def pathed(t: Tables) -> DataFrame:
-    return t.documents.withColumn("path", PATH).withColumn("doc_key", ids.doc_key_col(F.col("text")))
+    return t.documents.withColumn("path", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))).withColumn("doc_key", ids.doc_key_col(F.col("text")))
 
 
 # -- text ---------------------------------------------------------------------------------------
