@@ -200,7 +200,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, hybrid: dict | None, digits: int |
     """By a pipeline's hybrid setting; nothing set means the dense list."""
     if not hybrid:
         return dense.select("query_id", "chunk_id", "score", "rank")
-    method = hybrid.get("method", "weighted")
+    method = hybrid.get("fusion", "weighted")
     if method == "weighted":
         return fuse_weighted(dense, sparse, float(hybrid["bm25_weight"]), digits)
     if method == "rrf":

@@ -11,7 +11,7 @@ DEFAULTS = {
     "chunker": {"tool": "markdown_heading", "params": {"max_tokens": 800, "overlap": 120}},
     "embedding": {"provider": "local", "model": "hash-v1", "dims": 256, "params": {"seed": 0, "ngram": [1, 2]}},
     "index": {"adapter": "local"},
-    "retrieve": {"top_k": 10, "hybrid": {"method": "weighted", "bm25_weight": 0.45}},
+    "retrieve": {"top_k": 10, "hybrid": {"sparse": "bm25", "fusion": "weighted", "bm25_weight": 0.45}},
 }
 
 

@@ -112,12 +112,12 @@ def test_fusion_hand_values(spark):
     assert order(retrieve.fuse_weighted(flat, flat, 0.3)) == [("a", 1.0), ("b", 1.0)]
     d, s = ranked(spark, {"q": [("a", 3), ("b", 2), ("c", 1)]}), ranked(spark, {"q": [("b", 9), ("d", 8)]})
     assert order(retrieve.fuse_reciprocal(d, s)) == [("b", round(1 / 62 + 1 / 61, 9)), ("a", round(1 / 61, 9)), ("d", round(1 / 62, 9)), ("c", round(1 / 63, 9))]
-    assert [c for c, _ in order(retrieve.fuse(d, s, {"method": "weighted", "bm25_weight": 0.0}))][:3] == ["a", "b", "c"]
+    assert [c for c, _ in order(retrieve.fuse(d, s, {"fusion": "weighted", "bm25_weight": 0.0}))][:3] == ["a", "b", "c"]
     assert order(retrieve.fuse(d, s, None)) == [("a", 3.0), ("b", 2.0), ("c", 1.0)]
     with pytest.raises(ValueError):
-        retrieve.fuse(d, s, {"method": "other"})
+        retrieve.fuse(d, s, {"fusion": "other"})
     with pytest.raises(KeyError):
-        retrieve.fuse(d, s, {"method": "weighted"})
+        retrieve.fuse(d, s, {"fusion": "weighted"})
 
 
 def test_bm25_hand_values(spark):
