@@ -687,3 +687,143 @@ def _(t):
     cases = t.benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), empty.alias("expected_sources"), empty.alias("tags"))
     edits = t.benchmark.where("length(text) > 200").select(F.col("item_id").cast("string").alias("id"), F.concat(F.lit("Why? "), "text").alias("question"), F.lit(None).cast("array<string>").alias("expected_sources"), F.lit(None).cast("array<string>").alias("tags"))
     return golden.curate(cases, edits).select("id", "question")
+
+
+# -- the remaining operators of the store, funnel, arms and sweeps ---------------------------------
+
+
+@query("s7_document_by_source", "SELECT source, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang FROM documents GROUP BY source")
+def _(t):
+    return store.newest(t.documents.select("source", "doc_id", "lang"), ["source"], "doc_id").select("source", "doc_id", "lang")
+
+
+@query("j17_text_by_key", "SELECT label, arg_min(vec_id, vec_id) AS vec_id FROM embeddings GROUP BY label")
+def _(t):
+    return t.embeddings.groupBy("label").agg(F.min_by("vec_id", "vec_id").alias("vec_id"))
+
+
+@query("a32_min_max", f"WITH {sql_bm25('s')} SELECT query_id, chunk_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS normal FROM s WINDOW w AS (PARTITION BY query_id)")
+def _(t):
+    return retrieve.min_max(bm25(t)).select("query_id", "chunk_id", r("normal").alias("normal"))
+
+
+@query("a4_inverse_frequency", f"""
+WITH t AS (SELECT DISTINCT doc_id, unnest({SQL_TERMS.format('text')}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents)
+SELECT term, round(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM t, n GROUP BY term, n""")
+def _(t):
+    index = retrieve.Bm25(corpus(t))
+    df = index.document_frequency(index.frequencies()).crossJoin(F.broadcast(index.corpus()))
+    return df.select("term", r(index.idf(F.col("n"), F.col("df"))).alias("idf"))
+
+
+@query("a15_union_length", f"""
+WITH {sql_tokens('documents')}, {sql_chunks('c', 48, 8)},
+u AS (SELECT doc_id, greatest(0, span_end - greatest(span_start, coalesce(max(span_end) OVER (PARTITION BY doc_id ORDER BY span_start, span_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), span_start))) AS x FROM c)
+SELECT doc_id, sum(x)::BIGINT AS covered FROM u GROUP BY doc_id""")
+def _(t):
+    chunks = text.chunk(t.documents, "fixed_token", {"max_tokens": 48, "overlap": 8})
+    parts = chunks.select("doc_id", align.union_length(F.col("span_start"), F.col("span_end"), "doc_id").alias("x"))
+    return parts.groupBy("doc_id").agg(F.sum("x").alias("covered"))
+
+
+@query("w9_score_gaps", f"WITH {SQL_BOTH}, {SQL_CLASSED} SELECT query_id, round(gap, 6) AS gap FROM gp")
+def _(t):
+    final = bm25(t)
+    gaps = align.score_gaps(final, metrics.target_ranks(final, sources(t), expected(t)), 5)
+    return gaps.where("gap is not null").select("query_id", r("gap").alias("gap"))
+
+
+@query("w10_full_ranks", f"WITH {sql_bm25('s', depth=1 << 40)}, {SQL_EXPECTED} SELECT s.query_id, chunk_id, rank FROM s JOIN ex ON ex.query_id = s.query_id AND ex.doc_id = s.chunk_id")
+def _(t):
+    ranked = retrieve.Bm25(corpus(t)).topk(questions(t), None, DIGITS)
+    want = expected(t).select("query_id", F.col("source").cast("bigint").alias("chunk_id"))
+    return ranked.join(want, ["query_id", "chunk_id"]).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("j11_descendants", f"""
+WITH {SQL_TWO_CHUNKINGS}, {SQL_ALIGNED},
+ds AS (SELECT chunk_id, list(new_id ORDER BY -part, ns, new_id) AS d FROM mo WHERE new_id IS NOT NULL GROUP BY chunk_id),
+fw AS (SELECT f.chunk_id, fate, CASE WHEN fate = 'dropped' OR d IS NULL THEN [f.chunk_id] WHEN fate = 'split' THEN d ELSE d[1:1] END AS follow FROM fate f LEFT JOIN ds USING (chunk_id))
+SELECT chunk_id AS query_id, fate, unnest(follow) AS chunk_id FROM fw""")
+def _(t):
+    old, new = two_chunkings(t)
+    found = old.select(F.col("chunk_id").alias("query_id"), F.col("chunk_id").alias("tracer"))
+    return attribution.descendants(found, align.align_spans(old, new)).select("query_id", "fate", "chunk_id")
+
+
+SQL_ARMS = """
+ae AS (SELECT 'arm_s' AS arm_id, mb.query_id, target_rank, value FROM mb LEFT JOIN tg USING (query_id) WHERE metric = 'recall@5'),
+rg AS (SELECT ma.query_id, td.target_rank AS before_rank, value AS before_value FROM ma LEFT JOIN (SELECT d.query_id, min(rank) AS target_rank FROM d JOIN ex ON ex.query_id = d.query_id AND ex.doc_id = d.chunk_id GROUP BY 1) td USING (query_id) WHERE metric = 'recall@5'),
+cs AS (SELECT query_id, arm_id, target_rank, coalesce(target_rank <= coalesce(before_rank + 1, 5), false) AND value >= before_value AS ok FROM rg JOIN ae USING (query_id))"""
+
+
+def arm_inputs(t: Tables):
+    before, after = sides(t)
+    want = expected(t)
+    recall = lambda x: evaluated(t, x).where("metric = 'recall@5'").select("query_id", "value")
+    rank = lambda x: metrics.target_ranks(x, sources(t), want)
+    regressed = recall(before).withColumnRenamed("value", "before_value").join(rank(before).withColumnRenamed("target_rank", "before_rank"), "query_id", "left")
+    evals = recall(after).join(rank(after), "query_id", "left").withColumn("arm_id", F.lit("arm_s"))
+    reverts = t.spark.createDataFrame([("arm_s", "retrieve")], "arm_id string, factor string")
+    return regressed, evals, reverts, regressed.select("query_id", F.lit("retrieve").alias("factor"))
+
+
+@query("h20_confirm", f"WITH {SQL_BOTH}, {SQL_CLASSED}, {SQL_ARMS} SELECT query_id, 'retrieve' AS factor, CASE WHEN ok THEN 'verified' ELSE 'hypothesis' END AS status, CASE WHEN ok THEN target_rank END AS recovered_rank FROM cs")
+def _(t):
+    return attribution.confirm(*arm_inputs(t)).select("query_id", "factor", "status", F.col("recovered_rank").cast("bigint").alias("recovered_rank"))
+
+
+@query("a27_fidelity", "SELECT 1.0::DOUBLE AS fidelity")
+def _(t):
+    regressed, evals, reverts, suspects = arm_inputs(t)
+    return attribution.fidelity(attribution.confirm(regressed, evals, reverts, suspects), regressed, evals)
+
+
+@query("h18_plan_arms", f"""
+WITH {SQL_TWO_CHUNKINGS}, w AS (SELECT DISTINCT text FROM (SELECT text FROM old UNION ALL SELECT text FROM nw)), k AS (SELECT DISTINCT text FROM old WHERE ordinal = 0)
+SELECT count(*) AS texts, sum(length(text) // 4)::BIGINT AS tokens FROM w WHERE text NOT IN (FROM k)""")
+def _(t):
+    old, new = two_chunkings(t)
+    wanted = old.select(F.col("text_hash").alias("key"), "text").unionByName(new.select(F.col("text_hash").alias("key"), "text")).dropDuplicates(["key"])
+    stored = old.where("ordinal = 0").select(F.col("text_hash").alias("key"))
+    return wanted.join(stored, "key", "left_anti").agg(F.count("*").alias("texts"), F.sum(F.expr("length(text) div 4")).alias("tokens"))
+
+
+@query("w16_distinctive_sentence", f"""
+WITH df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({SQL_TERMS.format('text')}) AS term FROM documents) GROUP BY term),
+p AS (SELECT item_id AS id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '{WS}', ' ', 'g')) <> '') AS a FROM benchmark),
+s AS (SELECT id, unnest(a) AS sentence, unnest(range(len(a))) AS i FROM p),
+w AS (SELECT id, i, sentence, len({SQL_TERMS.format('sentence')}) >= 6 AS long, unnest(list_distinct({SQL_TERMS.format('sentence')})) AS term FROM s),
+c AS (SELECT id, i, sentence, long, sum(coalesce(1 / df, 0)) AS score FROM w LEFT JOIN df USING (term) GROUP BY ALL)
+SELECT id, trim(sentence) AS sentence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY long DESC, round(score, 9) DESC, i) AS k FROM c) WHERE k = 1""")
+def _(t):
+    frequency = retrieve.Bm25.document_frequency(retrieve.Bm25(corpus(t)).frequencies())
+    return golden.distinctive_sentence(t.benchmark.select(F.col("item_id").alias("id"), "text"), frequency)
+
+
+@query("w18_best_weight", f"""
+WITH {SQL_SIDES}, {SQL_NORMAL}, {SQL_EXPECTED}, g AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS weight),
+x AS (SELECT weight, query_id, chunk_id, dr, sr, round((1 - weight) * coalesce(dv, 0) + weight * coalesce(sv, 0), 6) AS score FROM b, g),
+rk AS (SELECT weight, query_id, chunk_id, row_number() OVER (PARTITION BY weight, query_id ORDER BY score DESC, dr NULLS LAST, sr NULLS LAST, chunk_id) AS rank FROM x),
+rr AS (SELECT weight, rk.query_id, 1 / min(rank) AS v FROM rk JOIN ex ON ex.query_id = rk.query_id AND ex.doc_id = rk.chunk_id GROUP BY 1, 2),
+mn AS (SELECT g.weight, round(coalesce(sum(v), 0) / (SELECT count(*) FROM benchmark), 6) AS mrr FROM g LEFT JOIN rr USING (weight) GROUP BY 1)
+SELECT weight, mrr FROM mn ORDER BY mrr DESC, weight LIMIT 1""")
+def _(t):
+    lists = retrieve.sweep_weights(*sides(t), [0.0, 0.25, 0.5, 0.75, 1.0], DIGITS)
+    first = lists.join(expected(t).select("query_id", F.col("source").cast("bigint").alias("chunk_id")), ["query_id", "chunk_id"]).groupBy("weight", "query_id").agg((1 / F.min("rank")).alias("v"))
+    n = questions(t).agg(F.count("*").alias("n"))
+    grid = lists.select("weight").distinct()
+    mean = grid.join(first, "weight", "left").groupBy("weight").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v")).crossJoin(F.broadcast(n))
+    return mean.select("weight", r(F.col("v") / F.col("n")).alias("mrr")).orderBy(F.desc("mrr"), "weight").limit(1)
+
+
+@query("a29_noise_rate", "SELECT max(n) AS worst FROM (SELECT event_type, count(*) FILTER (value < 50) AS n FROM events GROUP BY event_type)")
+def _(t):
+    runs = t.events.groupBy("event_type").agg(F.count_if(F.col("value") < 50).alias("n"))
+    return runs.agg(F.max("n").alias("worst"))
+
+
+@query("x10_versions", "SELECT source || '-v' || doc_id AS dataset, regexp_extract(source || '-v' || doc_id, '^(.*)-v(\\d+)$', 1) AS name, doc_id + 1 AS next FROM documents")
+def _(t):
+    name = F.concat("source", F.lit("-v"), F.col("doc_id").cast("string"))
+    return t.documents.select(name.alias("dataset"), F.regexp_extract(name, r"^(.*)-v(\d+)$", 1).alias("name"), (F.regexp_extract(name, r"^(.*)-v(\d+)$", 2).cast("bigint") + 1).alias("next"))
