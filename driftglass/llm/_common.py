@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +84,50 @@ def shingle_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def tidy() -> None:
+    """Give memory that a finished task no longer needs back to the machine; workers outlive tasks."""
+    _words.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def _find_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except AttributeError:  # not glibc
+        return None
+
+
+_trim = _find_trim()
+
+
+def released(fn):
+    """fn over Arrow batches or a group, tidying up when it is done."""
+
+    @functools.wraps(fn)
+    def run(data):
+        out = fn(data)
+        if not isinstance(out, Iterator):
+            tidy()
+            return out
+        return _drain(out)
+
+    return run
+
+
+def _drain(out: Iterator) -> Iterator:
+    try:
+        yield from out
+    finally:
+        tidy()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that Python objects of few texts live at a time."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
 
 
 def whole_partition(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:

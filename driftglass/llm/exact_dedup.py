@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftglass.llm._common import broadcast_if_small, column, materialise, whole_partition
+from driftglass.llm._common import broadcast_if_small, column, materialise, released, whole_partition
 
 #: Ranges of quotients per shuffle partition.
 RANGES_PER_PARTITION = 2
@@ -106,7 +106,7 @@ def repeated_fingerprints(prints: DataFrame, ranges: int) -> DataFrame:
         keys, counts = merge(table.column("filter").to_pylist())
         return pa.table({"fp": pa.array(keys[counts > 1].view(np.int64), pa.int64())})
 
-    return prints.mapInArrow(build, "range int, filter binary").groupBy("range").applyInArrow(add, "fp bigint")
+    return prints.mapInArrow(released(build), "range int, filter binary").groupBy("range").applyInArrow(add, "fp bigint")
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from driftglass.llm._common import U64, broadcast_if_small, column, components, key_groups, materialise, mix, runs, shingle_hashes, token_hashes, whole_partition
+from driftglass.llm._common import broadcast_if_small, column, components, key_groups, materialise, mix, released, runs, shingle_hashes, slices, token_hashes, U64, whole_partition
 
 GRAM, THRESHOLD, KEYS = 3, 0.5, 40
 _SKETCH_BITS = 1024
@@ -64,7 +64,7 @@ def parity_sketch(grams: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         ids, sids, keys, chunk = [], [], [], []
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             g = gram_set(text)
@@ -165,17 +165,17 @@ def _pairs(a: list, b: list, s: list) -> pa.RecordBatch:
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b, jaccard), a < b: pairs of distinct sets by their least ids, and members of equal sets with theirs."""
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    described = texts.mapInArrow(_describe, "doc_id bigint, sid bigint, keys array<bigint>, chunk array<smallint>")
+    described = texts.mapInArrow(released(_describe), "doc_id bigint, sid bigint, keys array<bigint>, chunk array<smallint>")
     sets = materialise(described.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("chunk").alias("chunk"), F.collect_set("doc_id").alias("docs")), "ngram-sets")
     rows = sets.select("sid", "rep", F.explode(F.arrays_zip("keys", "chunk")).alias("k")).select(F.col("k.keys").alias("key"), "sid", "rep", F.col("k.chunk").alias("chunk"))
-    groups = rows.repartition("key").mapInArrow(_meet, "members bigint, chunk smallint, sids array<bigint>, reps array<bigint>")
+    groups = rows.repartition("key").mapInArrow(released(_meet), "members bigint, chunk smallint, sids array<bigint>, reps array<bigint>")
     # groups of the same sets say the same: one of them, with the first chunk, stands for all
     groups = groups.groupBy("members").agg(F.min_by(F.struct("chunk", "sids", "reps"), "chunk").alias("g"))
     shipped = materialise(groups.select("members", F.col("g.chunk").alias("chunk"), F.explode(F.arrays_zip(F.col("g.sids").alias("sid"), F.col("g.reps").alias("rep"))).alias("m")).select("members", "chunk", F.col("m.sid").alias("sid"), F.col("m.rep").alias("rep")), "ngram-groups")
     wanted = materialise(shipped.select(F.col("rep").alias("doc_id")).distinct(), "ngram-ids")
     asked = texts.join(broadcast_if_small(wanted, 24), "doc_id", "left_semi")
     sent = shipped.join(asked, F.col("rep") == F.col("doc_id")).select("members", "chunk", "sid", "rep", "text")
-    pairs = sent.repartition("members").sortWithinPartitions("members").mapInArrow(_verify, "doc_id_a bigint, doc_id_b bigint, jaccard double")
+    pairs = sent.repartition("members").sortWithinPartitions("members").mapInArrow(released(_verify), "doc_id_a bigint, doc_id_b bigint, jaccard double")
     equal = sets.select(F.col("rep").alias("doc_id_a"), F.explode("docs").alias("doc_id_b")).where("doc_id_a <> doc_id_b").withColumn("jaccard", F.lit(1.0))
     return pairs.unionByName(equal)
 

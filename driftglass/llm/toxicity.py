@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from driftglass.llm._common import materialise
+from driftglass.llm._common import materialise, released, slices
 
 #: Bound of the labelled sample that lexicons are mined from and the classifier is trained on.
 SAMPLE_ROWS = 8000
@@ -249,7 +249,7 @@ def mine_lexicon(sample: DataFrame) -> frozenset[str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = (Counter(), Counter())
-        for b in batches:
+        for b in slices(batches):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 both[bool(toxic)].update({t for w in set(_WORD.findall((text or "").lower())) for t in terms_of(w)})
         terms = list(both[1])
@@ -259,7 +259,7 @@ def mine_lexicon(sample: DataFrame) -> frozenset[str]:
 
     n_bad = sample.where("toxic = 1").count()
     least = max(MIN_ROWS, int(MIN_SHARE * n_bad))
-    counted = sample.select("text", "toxic").mapInArrow(count, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = sample.select("text", "toxic").mapInArrow(released(count), "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     best = counted.where(f"bad >= {least} and bad >= {MIN_PRECISION} * (bad + good)").orderBy(F.desc("bad"), "term").limit(MAX_TERMS)
     return frozenset(r.term for r in best.collect())
 
@@ -276,11 +276,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Votes, LabelModel | None, S
     votes = Votes(mine_lexicon(sample))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             seen = Counter(map(votes, b.column(0).to_pylist()))
             yield pa.RecordBatch.from_pydict({"mask": pa.array(list(seen), pa.int32()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    patterns = docs.where("text is not null").select("text").mapInArrow(vote, "mask int, n bigint").groupBy("mask").agg(F.sum("n").alias("n")).orderBy("mask").collect()
+    patterns = docs.where("text is not null").select("text").mapInArrow(released(vote), "mask int, n bigint").groupBy("mask").agg(F.sum("n").alias("n")).orderBy("mask").collect()
     if not patterns:
         return votes, None, Scorer(*train([]))
     model = LabelModel(np.array([r["mask"] for r in patterns]), np.array([r.n for r in patterns], float))
@@ -294,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Votes, LabelModel | None, S
         terms, weights, bias = train(sorted(zip(table.column("text").to_pylist(), table.column("p").to_pylist(), strict=True)))
         return pa.table({"terms": pa.array([terms], pa.list_(pa.string())), "weights": pa.array([weights.tolist()], pa.list_(pa.float64())), "bias": pa.array([bias])})
 
-    got = sample.select("text").mapInArrow(label, "k int, text string, p double").groupBy("k").applyInArrow(learn, "terms array<string>, weights array<double>, bias double").collect()
+    got = sample.select("text").mapInArrow(released(label), "k int, text string, p double").groupBy("k").applyInArrow(released(learn), "terms array<string>, weights array<double>, bias double").collect()
     if not got:  # no labelled rows: the built-in lexicons alone give the weights
         words = sorted(BUILT_IN)
         return votes, model, Scorer(words, [12.0] * len(words), -6.0)
@@ -306,11 +306,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     _, _, scorer = fit(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             p = [None if t is None else round(scorer(t), 6) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "p_toxic": pa.array(p, pa.float64()), "toxic": pa.array([x is not None and x >= THRESHOLD for x in p], pa.bool_())})
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id bigint, p_toxic double, toxic boolean")
+    return docs.select("doc_id", "text").mapInArrow(released(score), "doc_id bigint, p_toxic double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -319,11 +319,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ok = [t is None or round(scorer(t), 6) < THRESHOLD for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(released(keep), docs.schema)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
