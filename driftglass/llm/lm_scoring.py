@@ -9,8 +9,9 @@ The join is relational, with columnar rows. Texts are cut into blocks and writte
 codes. Each block explodes its n-grams of all orders, counts them, and sends them, packed by range
 of hash, to the count table: one task per range adds the counts of all blocks and returns, per
 block, what the other blocks hold of its n-grams. Blocks are joined with these answers and the
-scores are summed per document. Hashes have 56 bits; packed and sorted they take about five bytes
-per n-gram instead of a shuffled row, and nothing but the number of words reaches the driver.
+scores are summed per document. Packed and sorted, a hash takes about four bytes instead of a
+shuffled row; its width grows with the corpus, so that at any size some twenty pairs of n-grams in
+all share a hash. Nothing but the number of words reaches the driver.
 
 Words are lower-cased and split at ASCII white space. Defined results: a NULL text has NULL
 results; an empty text has 0 words, score 0 and a NULL mean; repeated rows are documents of their
@@ -30,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from driftglass.llm._common import U64, materialise, mix, shingle_hashes, token_hashes
+from driftglass.llm._common import materialise, mix, released, shingle_hashes, slices, token_hashes, U64
 
 ORDER, ALPHA = 3, 0.4
-BLOCK_WORDS, RANGE_GRAMS = 600_000, 2_000_000
-_BITS = 56
+BLOCK_WORDS, RANGE_GRAMS = 1_000_000, 2_000_000
+
+
+def hash_bits(words: int) -> int:
+    """Width at which no more than 2^5 pairs of the corpus' n-grams collide."""
+    return min(62, max(48, 2 * (ORDER * max(words, 1)).bit_length() - 6))
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -61,7 +66,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal count
         count += 1
         flat = np.concatenate(words) if words else np.empty(0, U64)
-        vocabulary, codes = np.unique(flat, return_inverse=True)
+        vocabulary, codes, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # small codes for frequent words pack well
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        vocabulary, codes = vocabulary[order], rank[codes]
         lengths = np.array([len(w) for w in words], np.int64)
         known = np.array([i is not None for i in ids])
         key = xxh3_64_intdigest(b"%d:%d:" % (TaskContext.get().partitionId(), count) + lengths.tobytes()) >> 1
@@ -72,14 +81,14 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "ids": pa.array([np.array([i or 0 for i in ids], np.int64).tobytes() + known.tobytes()], pa.binary()),
             "lengths": pa.array([_squeeze(lengths)], pa.binary()),
             "n_vocabulary": pa.array([len(vocabulary)], pa.int64()),
-            "vocabulary": pa.array([vocabulary.tobytes()], pa.binary()),
+            "vocabulary": pa.array([_squeeze(vocabulary)], pa.binary()),
             "codes": pa.array([_squeeze(codes)], pa.binary()),
         })
 
     ids: list = []
     words: list[np.ndarray] = []
     size = 0
-    for b in batches:
+    for b in slices(batches):
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             w = token_hashes(text)
             if ids and size + len(w) > BLOCK_WORDS:
@@ -95,10 +104,10 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _BLOCK = "block bigint, n_words bigint, n_docs bigint, ids binary, lengths binary, n_vocabulary bigint, vocabulary binary, codes binary"
 
 
-def _grams(row: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def _grams(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Document of each word, position in it, and per order the words that end a gram and the grams."""
     lengths = _expand(row["lengths"], row["n_docs"]).astype(np.int64)
-    words = np.frombuffer(row["vocabulary"], U64)[_expand(row["codes"], row["n_words"]).astype(np.int64)] if row["n_words"] else np.empty(0, U64)
+    words = _expand(row["vocabulary"], row["n_vocabulary"])[_expand(row["codes"], row["n_words"]).astype(np.int64)] if row["n_words"] else np.empty(0, U64)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     ends, grams = [], []
@@ -106,7 +115,7 @@ def _grams(row: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np
         end = np.flatnonzero(place >= k - 1)
         h = shingle_hashes(words, k)
         ends.append(end)
-        grams.append(mix(h[end - (k - 1)] + U64(k)) >> U64(64 - _BITS) if len(end) else np.empty(0, U64))
+        grams.append(mix(h[end - (k - 1)] + U64(k)) >> U64(64 - bits) if len(end) else np.empty(0, U64))
     return doc, place, ends, grams
 
 
@@ -116,18 +125,18 @@ def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[at], np.diff(np.append(at, len(s)))
 
 
-def _cuts(sorted_grams: np.ndarray, ranges: int) -> np.ndarray:
+def _cuts(sorted_grams: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     """Where each range of hashes starts, and the end."""
-    which = ((sorted_grams >> U64(_BITS - 32)) * U64(ranges)) >> U64(32)
+    which = ((sorted_grams >> U64(bits - 32)) * U64(ranges)) >> U64(32)
     return np.searchsorted(which, np.arange(ranges + 1, dtype=U64))
 
 
-def _ask(ranges: int):
+def _ask(ranges: int, bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                keys, counts = _counted(np.concatenate(_grams(row)[3]))
-                cuts = _cuts(keys, ranges)
+                keys, counts = _counted(np.concatenate(_grams(row, bits)[3]))
+                cuts = _cuts(keys, ranges, bits)
                 out: dict[str, list] = {"range": [], "block": [], "n": [], "grams": [], "counts": []}
                 for r in np.flatnonzero(np.diff(cuts)).tolist():
                     part = slice(int(cuts[r]), int(cuts[r + 1]))
@@ -163,7 +172,7 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "range": table.column("range"), "others": pa.array([_squeeze(o) for o in others], pa.binary())})
 
 
-def _score(ranges: int, total: int):
+def _score(ranges: int, total: int, bits: int):
     penalty = float(np.log(ALPHA))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +181,12 @@ def _score(ranges: int, total: int):
                 n_docs = row["n_docs"]
                 ids = np.frombuffer(row["ids"][: 8 * n_docs], np.int64)
                 known = np.frombuffer(row["ids"][8 * n_docs :], bool)
-                doc, place, ends, grams = _grams(row)
+                doc, place, ends, grams = _grams(row, bits)
                 length = np.bincount(doc, minlength=n_docs)
                 flat = np.concatenate(grams)
                 keys, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-                cuts = _cuts(keys, ranges)
+                del flat, grams
+                cuts = _cuts(keys, ranges, bits)
                 others = np.zeros(len(keys), np.int64)
                 for a in row["answers"] or []:
                     part = slice(int(cuts[a["range"]]), int(cuts[a["range"] + 1]))
@@ -185,6 +195,7 @@ def _score(ranges: int, total: int):
                 owner = np.concatenate([doc[e] for e in ends]) * np.int64(max(1, len(keys))) + inverse
                 _, mine, own = np.unique(owner, return_inverse=True, return_counts=True)
                 rest = (others + counts)[inverse] - own[mine]
+                del owner, inverse, mine
                 c = np.zeros((ORDER + 1, len(doc)), np.int64)
                 start = 0
                 for k, e in enumerate(ends, 1):
@@ -206,14 +217,14 @@ def _score(ranges: int, total: int):
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) for every row."""
-    blocks = materialise(docs.where("text is not null").select("doc_id", "text").mapInArrow(_encode, _BLOCK), "lm-blocks")
+    blocks = materialise(docs.where("text is not null").select("doc_id", "text").mapInArrow(released(_encode), _BLOCK), "lm-blocks")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    ranges = max(1, -(-total * ORDER // RANGE_GRAMS))
-    asked = blocks.mapInArrow(_ask(ranges), "range int, block bigint, n bigint, grams binary, counts binary")
-    answers = asked.groupBy("range").applyInArrow(_add, "block bigint, range int, others binary")
+    ranges, bits = max(1, -(-total * ORDER // RANGE_GRAMS)), hash_bits(total)
+    asked = blocks.mapInArrow(released(_ask(ranges, bits)), "range int, block bigint, n bigint, grams binary, counts binary")
+    answers = asked.groupBy("range").applyInArrow(released(_add), "block bigint, range int, others binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("range", "others")).alias("answers"))
     joined = blocks.join(answers, "block", "left")
-    scored = joined.mapInArrow(_score(ranges, total), "doc_id bigint, n_words bigint, log_score double, mean_log_score double")
+    scored = joined.mapInArrow(released(_score(ranges, total, bits)), "doc_id bigint, n_words bigint, log_score double, mean_log_score double")
     none = docs.where("text is null").select("doc_id", *(F.lit(None).cast(t).alias(n) for n, t in (("n_words", "bigint"), ("log_score", "double"), ("mean_log_score", "double"))))
     return scored.unionByName(none)
 
