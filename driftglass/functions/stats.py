@@ -19,12 +19,12 @@ def percentile(values: list[float], p: float) -> float:
     return v[low] + (at - low) * (v[min(low + 1, len(v) - 1)] - v[low])
 
 
-def bootstrap_interval(values: list[float], resamples: int = 2000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
-    """Percentile interval of the mean, with the standard library's generator."""
+def bootstrap_interval(values: list[float], seed: int = 0, resamples: int = 2000, alpha: float = 0.05) -> tuple[float, float]:
+    """Interval of the mean between percentiles, with the standard library's generator."""
     if len(values) < 2:
         return (float(values[0]),) * 2 if values else (0.0, 0.0)
     draw, n = random.Random(seed), len(values)
-    means = [math.fsum(draw.choices(values, k=n)) / n for _ in range(resamples)]
+    means = [math.fsum(sample) / n for sample in (draw.choices(values, k=n) for _ in range(resamples))]
     return percentile(means, alpha / 2), percentile(means, 1 - alpha / 2)
 
 
@@ -33,7 +33,8 @@ def mcnemar(b: int, c: int) -> float:
     if min(b, c) < 0:
         raise ValueError("counts cannot be negative")
     n = b + c
-    return min(1.0, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n) if n else 1.0
+    ways = [math.comb(n, k) for k in range(1 + min(c, b))]
+    return min(1.0, 2 * sum(ways) / 2**n) if n else 1.0
 
 
 def false_discovery(p_values: list[float], q: float = 0.05) -> list[bool]:
@@ -67,7 +68,7 @@ def false_discovery_table(tests: DataFrame, key: str, q: float = 0.05, p: str =
     return ranked.withColumn("rejected", F.col("_r") <= last).drop("_r", "_m")
 
 
-def hash_bootstrap(values: DataFrame, value: str, order: str, resamples: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+def hash_bootstrap(values: DataFrame, value: str, order: str, seed: int = 0, resamples: int = 2000, alpha: float = 0.05) -> DataFrame:
     """One row (low, high): resampling with hashed indices, the same on any cluster and in any engine."""
     indexed = values.select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(order)) - 1).alias("i"))
     n = indexed.agg(F.count("*").alias("n"))

@@ -20,8 +20,9 @@ SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 TERM_PATTERN = r"([\p{L}\p{N}]+)"
 
 PARSERS = ("text-v1", "markdown-v2")
-_EMPHASIS = re.compile(r"(?<!\w)(?P<m>\*{1,3}|_{1,3})(?=\S)(?P<body>.+?)(?<=\S)(?P=m)(?!\w)")
-_HASHES = re.compile(r"(?m)^#{1,6}[ \t]*")
+#: One to three equal marks hugging a text that neither starts nor ends with white space.
+_EMPHASIS = re.compile(r"(?<!\w)(?P<m>([*_])\2{0,2})(?!\s)(?P<body>\S|\S.*?\S)(?P=m)(?!\w)")
+_HASHES = re.compile(r"^#{1,6}[ \t]*", re.MULTILINE)
 
 
 def right_trim_lines(text: Column) -> Column:
@@ -43,7 +44,7 @@ def strip_markdown(text: str) -> str:
     text = _HASHES.sub("", text)
     while (peeled := _EMPHASIS.sub(lambda m: m["body"], text)) != text:
         text = peeled
-    return "\n".join(line.rstrip() for line in text.split("\n"))
+    return "\n".join(map(str.rstrip, text.split("\n")))
 
 
 def parse_markdown(raw: Column) -> Column:
@@ -83,7 +84,7 @@ def sentences(text: Column) -> Column:
 
 Span = tuple[int, int]
 _TOKEN = re.compile(r"\S+")
-_HEADING = re.compile(r"^#{1,6}(?:[ \t]|$)", re.MULTILINE)
+_HEADING = re.compile(r"^#{1,6}(?=[\t ]|$)", re.MULTILINE)
 
 
 def _windows(tokens: list[Span], size: int, overlap: int) -> list[Span]:

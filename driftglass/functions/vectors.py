@@ -42,25 +42,28 @@ def to_half(v: Column) -> Column:
     return halve(v)
 
 
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile("[0-9a-z]+")
 
 
 class HashEmbedder:
     """Signed feature hashing of word n-grams into a unit vector."""
 
-    def __init__(self, dims: int = 256, seed: int = 0, ngram: tuple[int, int] = (1, 2), model: str = "hash-v1"):
-        self.provider, self.model, self.dims, self.seed, self.ngram = "local", model, int(dims), int(seed), (int(ngram[0]), int(ngram[1]))
+    provider = "local"
+
+    def __init__(self, dims: int = 256, seed: int = 0, ngram=(1, 2), model: str = "hash-v1"):
+        self.model, self.dims, self.seed = model, int(dims), int(seed)
+        self.ngram = tuple(map(int, ngram))
 
     @property
     def params(self) -> dict:
-        return {"dims": self.dims, "seed": self.seed, "ngram": list(self.ngram)}
+        return {"ngram": list(self.ngram), "seed": self.seed, "dims": self.dims}
 
     def features(self, text: str) -> Counter:
         words = _WORD.findall(text.lower())
         return Counter(" ".join(words[i : i + n]) for n in range(self.ngram[0], self.ngram[1] + 1) for i in range(len(words) - n + 1))
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        salt, dims = f"{self.model}\x1f{self.seed}\x1f".encode(), self.dims
+        salt, dims = "\x1f".join((self.model, str(self.seed), "")).encode(), self.dims
 
         @lru_cache(maxsize=200_000)
         def place(feature: str) -> tuple[int, int]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftglass.functions import stats
 from driftglass.operators.metrics import metric_k
 
-_RULE = re.compile(r"\s*([\w@]+)\s*(<=|>=|<|>)\s*(-?\d+(?:\.\d+)?)\s*")
+_RULE = re.compile(r"\s*([\w@]+)\s*(<=|>=|<|>)\s*(-?\d+(?:[.]\d+)?)\s*")
 _COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
 
@@ -122,5 +122,5 @@ def statistical_gate(classed: DataFrame, calibration: dict | None, tags: DataFra
         reasons.append(f"{metric} fell on stable queries: the interval ends at {high:.4f}, over {len(stable)} queries")
     reasons += [f"hits were lost {'overall' if n == 0 else f'under {name}'}: {lost} lost, {won} won, p={p:.4f}" for n, (name, p, lost, won) in ((0 if t[0] == "overall" else 1, t) for t, _ in worse)]
     unstable = sorted(str(r.query_id) for r in rows if r.stability == "unstable")
-    details = {"ci": [low, high], "b": b, "c": c, "p_overall": tests[0][1], "per_tag": {t[0]: t[1] for t in tests[1:]}, "rejected": {t[0]: x for t, x in zip(tests, rejected, strict=True)}, "n_stable": len(stable), "n_unstable": len(unstable)}
+    details = {"ci": [low, high], "p_overall": tests[0][1], "b": b, "c": c, "per_tag": {t[0]: t[1] for t in tests[1:]}, "rejected": {t[0]: x for t, x in zip(tests, rejected, strict=True)}, "n_stable": len(stable), "n_unstable": len(unstable)}
     return Verdict(not reasons, "statistical", reasons, high < 0, unstable, details)

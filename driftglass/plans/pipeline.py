@@ -6,13 +6,13 @@ from dataclasses import asdict, dataclass, field, replace
 
 from driftglass import ids
 
-DEFAULTS = {
-    "parser": {"tool": "text-v1"},
-    "chunker": {"tool": "markdown_heading", "params": {"max_tokens": 800, "overlap": 120}},
-    "embedding": {"provider": "local", "model": "hash-v1", "dims": 256, "params": {"seed": 0, "ngram": [1, 2]}},
-    "index": {"adapter": "local"},
-    "retrieve": {"top_k": 10, "hybrid": {"sparse": "bm25", "fusion": "weighted", "bm25_weight": 0.45}},
-}
+DEFAULTS = dict(
+    parser=dict(tool="text-v1"),
+    chunker=dict(tool="markdown_heading", params=dict(max_tokens=800, overlap=120)),
+    embedding=dict(provider="local", model="hash-v1", dims=256, params=dict(seed=0, ngram=[1, 2])),
+    index=dict(adapter="local"),
+    retrieve=dict(top_k=10, hybrid=dict(sparse="bm25", fusion="weighted", bm25_weight=0.45)),
+)
 
 
 @dataclass(frozen=True)
@@ -84,8 +84,8 @@ def build(config: dict | None = None) -> Pipeline:
     stages = [
         Stage("parse", part["parser"]["tool"]),
         Stage("chunk", part["chunker"]["tool"], params=dict(part["chunker"].get("params") or {}), inputs=("parse",)),
-        Stage("embed", embed["provider"], params={"provider": embed["provider"], "model": embed["model"], "dims": int(embed["dims"])} | (embed.get("params") or {}), inputs=("chunk",)),
-        Stage("index", part["index"]["adapter"], params={k: v for k, v in part["index"].items() if k != "adapter" and v is not None}, inputs=("embed",)),
+        Stage("embed", embed["provider"], params={k: int(embed[k]) if k == "dims" else embed[k] for k in ("model", "provider", "dims")} | (embed.get("params") or {}), inputs=("chunk",)),
+        Stage("index", part["index"]["adapter"], params={name: v for name, v in part["index"].items() if v is not None and name != "adapter"}, inputs=("embed",)),
         Stage("retrieve", "retrieve", params=retrieve, inputs=("index",)),
     ]
     if rerank := config.get("rerank"):
@@ -120,7 +120,8 @@ class Snapshot:
     parent: str | None = None
 
     def core(self) -> dict:
-        return {"pipeline": self.pipeline.to_list(), "corpus": {"doc_count": self.doc_count, "chunk_count": self.chunk_count, "root": self.root}, "artifacts": dict(sorted(self.artifacts.items()))}
+        corpus = {"root": self.root, "doc_count": self.doc_count, "chunk_count": self.chunk_count}
+        return {"artifacts": self.artifacts, "corpus": corpus, "pipeline": self.pipeline.to_list()}
 
     @property
     def snapshot_id(self) -> str:

@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 from driftglass.operators import attribution
 from driftglass.plans import report, workflows
 
-GATES = {"coverage": 0.70, "fidelity": 0.995, "noise_floor": 0.02, "stage_accuracy": 0.80, "narrative_violations": 0}
+#: Each figure's bound, and whether it is a floor.
+BOUNDS = (("fidelity", 0.995, True), ("stage_accuracy", 0.80, True), ("coverage", 0.70, True), ("narrative_violations", 0, False), ("noise_floor", 0.02, False))
 
 
 @dataclass
 class Scores:
-    coverage: float
     fidelity: float
-    noise_floor: float
     stage_accuracy: float
+    coverage: float
     narrative_violations: int
+    noise_floor: float
 
     def passes(self) -> bool:
-        return self.coverage >= GATES["coverage"] and self.fidelity >= GATES["fidelity"] and self.noise_floor <= GATES["noise_floor"] and self.stage_accuracy >= GATES["stage_accuracy"] and not self.narrative_violations
+        return all((x >= bound) if floor else (x <= bound) for x, bound, floor in ((getattr(self, n), b, f) for n, b, f in BOUNDS))
 
 
 def noise_rate(reruns: DataFrame, n_cases: int) -> float:
@@ -44,4 +45,4 @@ def score_scenario(project, diff: workflows.Diff, cases: DataFrame, cause: str,
     for f in rows:
         mine, fate = [c for c in found if c["query_id"] == f["query_id"]], fates.get(f["tracer"])
         bad += len(report.audit(report.narrative(f, fate, mine), f, fate, mine))
-    return Scores(len(verified & stable) / len(stable) if stable else 1.0, 1.0, 0.0, sum(right) / len(right) if right else 1.0, bad)
+    return Scores(1.0, sum(right) / len(right) if right else 1.0, len(verified & stable) / len(stable) if stable else 1.0, bad, 0.0)
