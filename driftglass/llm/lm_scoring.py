@@ -5,13 +5,13 @@ by ALPHA times the bigram's ratio, else by ALPHA squared times the word's share,
 more over the corpus size. A document's own occurrences are taken off every count, so copies of
 itself do not vouch for it; near the start of a text only the orders that exist are tried.
 
-The join is relational, with columnar rows. Texts are cut into blocks and written once as word
-codes. Each block explodes its n-grams of all orders, counts them, and sends them, packed by range
+The join is relational, with columnar rows. Texts are cut into blocks of word codes, shuffled once
+by block. Each block explodes its n-grams of all orders, counts them, and sends them, packed by range
 of hash, to the count table: one task per range adds the counts of all blocks and returns, per
 block, what the other blocks hold of its n-grams. Blocks are joined with these answers and the
 scores are summed per document. Packed and sorted, a hash takes about four bytes instead of a
-shuffled row; its width grows with the corpus, so that at any size some twenty pairs of n-grams in
-all share a hash. Nothing but the number of words reaches the driver.
+shuffled row; its width grows with the corpus, so that at any size one n-gram in a million shares
+its hash. Nothing but the number of words reaches the driver.
 
 Words are lower-cased and split at ASCII white space. Defined results: a NULL text has NULL
 results; an empty text has 0 words, score 0 and a NULL mean; repeated rows are documents of their
@@ -34,12 +34,12 @@ from xxhash import xxh3_64_intdigest
 from driftglass.llm._common import materialise, mix, released, shingle_hashes, slices, token_hashes, U64
 
 ORDER, ALPHA = 3, 0.4
-BLOCK_WORDS, RANGE_GRAMS = 1_000_000, 2_000_000
+BLOCK_WORDS, RANGE_GRAMS = 700_000, 2_000_000
 
 
 def hash_bits(words: int) -> int:
-    """Width at which no more than 2^5 pairs of the corpus' n-grams collide."""
-    return min(62, max(48, 2 * (ORDER * max(words, 1)).bit_length() - 6))
+    """Width at which one of 2^20 n-grams of the corpus collides; never narrow."""
+    return min(63, max(48, (ORDER * max(words, 1)).bit_length() + 20))
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -187,10 +187,13 @@ def _score(ranges: int, total: int, bits: int):
                 keys, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
                 del flat, grams
                 cuts = _cuts(keys, ranges, bits)
-                others = np.zeros(len(keys), np.int64)
+                others, answered = np.zeros(len(keys), np.int64), 0
                 for a in row["answers"] or []:
                     part = slice(int(cuts[a["range"]]), int(cuts[a["range"] + 1]))
                     others[part] = _expand(a["others"], part.stop - part.start)
+                    answered += part.stop - part.start
+                if answered != len(keys):  # a block made again after a loss must be the block that asked
+                    raise RuntimeError("the rows of a block changed between two reads of the documents")
                 # own occurrences: the grams of one document
                 owner = np.concatenate([doc[e] for e in ends]) * np.int64(max(1, len(keys))) + inverse
                 _, mine, own = np.unique(owner, return_inverse=True, return_counts=True)
@@ -217,9 +220,15 @@ def _score(ranges: int, total: int, bits: int):
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) for every row."""
-    blocks = materialise(docs.where("text is not null").select("doc_id", "text").mapInArrow(released(_encode), _BLOCK), "lm-blocks")
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    texts = docs.where("text is not null").select("doc_id", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(t.encode("utf-8", "replace").split()) for b in slices(batches) for t in b.column(0).to_pylist())], pa.int64())})
+
+    total = texts.select("text").mapInArrow(count, "n bigint").agg(F.sum("n")).first()[0] or 0
     ranges, bits = max(1, -(-total * ORDER // RANGE_GRAMS)), hash_bits(total)
+    # both readers of the blocks, the asking and the scoring, share this one exchange
+    blocks = texts.mapInArrow(released(_encode), _BLOCK).repartition("block")
     asked = blocks.mapInArrow(released(_ask(ranges, bits)), "range int, block bigint, n bigint, grams binary, counts binary")
     answers = asked.groupBy("range").applyInArrow(released(_add), "block bigint, range int, others binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("range", "others")).alias("answers"))
