@@ -198,6 +198,21 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert all(cut[i].text == t for i, t, _ in rows if i % 3 == 2) and all(r.n_chars == len(r.text) for r in cut.values())
 
 
+def test_exact_passages_are_found_behind_pieces_of_them(spark):
+    rng = random.Random(21)
+    rows, pieces = [], []
+    for g in range(12):
+        passage = words(rng, 50, 10**6).split()
+        k = (15, 25, 35, 45)[g % 4]
+        at = 100 * g
+        for j, part in enumerate([passage[:k], passage[-k:], *[passage] * 8]):
+            rows.append((at + j, f"{words(rng, 60, 10**6)} {' '.join(part)} {words(rng, 60, 10**6)}", "a"))
+            if j > 2:
+                pieces.append((at + j, (60, 110)))
+    found = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    assert all(any(r.doc_id == i and r.start_word <= s and r.end_word >= e for r in found) for i, (s, e) in pieces)
+
+
 def test_cutting_keeps_the_rest_as_it_is():
     assert substring_dedup.cut_words("a  b\nc d\te  f ", [(1, 3)]) == "a  d\te  f "
     assert substring_dedup.cut_words("a b", [(0, 2)]) == ""
