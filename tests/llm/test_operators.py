@@ -213,6 +213,21 @@ def test_exact_passages_are_found_behind_pieces_of_them(spark):
     assert all(any(r.doc_id == i and r.start_word <= s and r.end_word >= e for r in found) for i, (s, e) in pieces)
 
 
+def test_near_passages_at_the_threshold_match_brute_force(spark):
+    rng = random.Random(22)
+    rows = []
+    for g in range(300):
+        passage = words(rng, 50, 10**6).split()
+        edited = list(passage)
+        for k in (12, 24, 36):
+            edited[k] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * g + j, " ".join(w), "a") for j, w in enumerate((passage, edited))]
+    s = [substring_dedup.shingle_hashes(substring_dedup.token_hashes(t), substring_dedup.SHINGLE) for _, t, _ in rows]
+    want = {(i + 1, i) for i in range(0, 600, 2) if substring_dedup.passages(s[i + 1], s[i])}
+    got = {(r.doc_id, r.source_id) for r in substring_dedup.repeated_passages(table(spark, rows)).collect()}
+    assert len(want) == 300 and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_cutting_keeps_the_rest_as_it_is():
     assert substring_dedup.cut_words("a  b\nc d\te  f ", [(1, 3)]) == "a  d\te  f "
     assert substring_dedup.cut_words("a b", [(0, 2)]) == ""
