@@ -228,6 +228,23 @@ def test_near_passages_at_the_threshold_match_brute_force(spark):
     assert len(want) == 300 and got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_passages_inside_weak_chains_are_found():
+    rng = random.Random(23)
+    shingles = lambda w: substring_dedup.shingle_hashes(substring_dedup.token_hashes(" ".join(w)), 5)
+    for _ in range(20):
+        exact, tail = words(rng, 60, 10**6).split(), words(rng, 200, 10**6).split()
+        other = [w if k % 9 else f"e{rng.randrange(10**6)}" for k, w in enumerate(tail)]
+        for x, a in ((exact + tail, exact + other), (tail + exact, other + exact), (tail + exact + tail[::-1], other + exact + other[:3])):
+            s = x.index(exact[0])
+            got = substring_dedup.passages(shingles(x), shingles(a))
+            assert any(r[0] <= s and r[1] >= s + 60 for r in got) and all(r[1] - r[0] >= 50 and r[4] >= 0.5 for r in got)
+        near = list(exact)
+        near[28] = near[33] = "edited"
+        assert [r[:4] for r in substring_dedup.passages(shingles(exact), shingles(near))] == [(0, 60, 0, 60)]
+    line = words(rng, 7).split() * 12  # repeated shingles
+    assert substring_dedup.passages(shingles(line + tail), shingles(line + other))
+
+
 def test_cutting_keeps_the_rest_as_it_is():
     assert substring_dedup.cut_words("a  b\nc d\te  f ", [(1, 3)]) == "a  d\te  f "
     assert substring_dedup.cut_words("a b", [(0, 2)]) == ""
