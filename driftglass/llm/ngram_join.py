@@ -4,9 +4,10 @@ Parity sketches. A set is cut into chunks by a hash of its grams; each chunk is
 patterns of its grams, so a gram in one set but not the other changes one chunk, and the number
 of differing chunks bounds the symmetric difference from below. Per size band the differences
 that the threshold allows are spread over the chunks, so that by the pigeonhole principle some
-chunk stays equal; sets meet when a chunk is equal (KEYS chunks are tried; with every chunk of a
-short set that is certain but for empty chunks, for longer sets it fails with a small chance at
-the very threshold and vanishingly above it). A dense one-bit parity sketch then rejects pairs
+chunk stays equal; sets meet when a chunk is equal (KEYS chunks are tried, about as many exist as
+grams may differ; that fails with a chance of up to about one in a hundred at the very threshold
+and less above it). Pairs whose smaller set has fewer than 16 grams meet by their grams, without
+fail. A dense one-bit parity sketch then rejects pairs
 whose Hamming distance exceeds the allowed difference, and the rest are verified exactly.
 
 Sets that are equal are joined once, through their least doc_id, and each other member is paired
@@ -30,7 +31,9 @@ from xxhash import xxh3_64_intdigest
 
 from driftglass.llm._common import broadcast_if_small, column, components, key_groups, materialise, mix, released, runs, shingle_hashes, slices, token_hashes, U64, whole_partition
 
-GRAM, THRESHOLD, KEYS = 3, 0.5, 40
+GRAM, THRESHOLD, KEYS = 3, 0.5, 64
+#: Where the smaller set is in a band up to this one, the keys are grams.
+SHORT = 3
 _SKETCH_BITS = 1024
 _MASK = U64((1 << 48) - 1)
 
@@ -47,8 +50,11 @@ def band_of(n: int) -> int:
 
 
 def chunk_keys(grams: np.ndarray, band: int) -> np.ndarray:
-    """Keys of the first KEYS chunks for pairs whose smaller set is in band; 0 where a chunk says too little."""
-    chunks = max(1 << max(band - 1, 0), min((2 << band) + 1, KEYS))
+    """Keys for pairs whose smaller set is in band: of the first KEYS chunks, 0 where a chunk says too little, or of grams."""
+    if band <= SHORT:  # of two sets that reach one half, these least grams have one in common
+        return mix(np.sort(mix(grams ^ U64(0x5BD1E995)))[: len(grams) // 2 + 1] + U64(band)) | U64(1)
+    # about as many chunks as grams may differ: more would be too small, in fewer none stays equal
+    chunks = 2 << band if band <= 5 else 1 << band
     at = (mix(grams ^ U64(0x5BD1E995)) >> U64(16)) % U64(chunks)
     near = at < KEYS
     at, pattern = at[near].astype(np.int64), mix(grams[near])
@@ -76,7 +82,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(i)
             sids.append(xxh3_64_intdigest(g.tobytes()))
             keys.append(np.concatenate((own[own > 0], low[low > 0])).view(np.int64))
-            chunk.append(np.concatenate((np.flatnonzero(own), np.flatnonzero(low) + 128)).astype(np.int16))
+            chunk.append(np.concatenate((np.flatnonzero(own) * (band > SHORT), np.flatnonzero(low) * (band - 1 > SHORT) + 128)).astype(np.int16))
         yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "sid": pa.array(np.array(sids, U64).view(np.int64), pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "chunk": pa.array(chunk, pa.list_(pa.int16()))})
 
 
@@ -177,7 +183,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sent = shipped.join(asked, F.col("rep") == F.col("doc_id")).select("members", "chunk", "sid", "rep", "text")
     pairs = sent.repartition("members").sortWithinPartitions("members").mapInArrow(released(_verify), "doc_id_a bigint, doc_id_b bigint, jaccard double")
     equal = sets.select(F.col("rep").alias("doc_id_a"), F.explode("docs").alias("doc_id_b")).where("doc_id_a <> doc_id_b").withColumn("jaccard", F.lit(1.0))
-    return pairs.unionByName(equal)
+    # short sets may meet by several grams
+    return pairs.distinct().unionByName(equal)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

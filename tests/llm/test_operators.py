@@ -136,6 +136,20 @@ def test_near_copies_match_brute_force(spark):
     assert all(abs(want[k] - v) < 1e-6 for k, v in got.items())
 
 
+@pytest.mark.parametrize("n,m,common", [(1, 2, 1), (2, 4, 2), (3, 3, 2), (15, 30, 15), (127, 254, 127), (255, 510, 255), (255, 460, 255), (300, 300, 200), (2000, 3600, 2000)])
+def test_sets_at_the_threshold_meet(n, m, common):
+    rng = np.random.default_rng(n)
+    met = 0
+    for _ in range(200):
+        both = np.unique(rng.integers(0, 1 << 48, n + m - common, dtype=np.uint64))
+        both = rng.permutation(both)
+        a, b = np.sort(both[:n]), np.sort(both[n - common :])
+        low = min(ngram_join.band_of(n), ngram_join.band_of(m))
+        keys = [set(ngram_join.chunk_keys(x, low).tolist()) - {0} for x in (a, b)]
+        met += bool(keys[0] & keys[1])
+    assert met == 200 if n < 16 else met >= 195
+
+
 def test_near_copies_keep_one_of_each_group(spark):
     rng = random.Random(3)
     base, other = words(rng, 200), words(rng, 200)
