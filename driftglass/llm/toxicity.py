@@ -40,6 +40,7 @@ WORTH = frozenset("worthless trash garbage scum loser losers pathetic vermin fil
 CONDUCT = frozenset("clown clowns disgusting disgrace creep pervert bastard bitch asshole shit fuck fucking".split())
 BUILT_IN = MIND | WORTH | CONDUCT
 
+_CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _WORD = re.compile(r"\w+")
 _MASKED = re.compile(r"\b[^\W\d_]+[*@$013457]+\w*\b|\b[@$013457]\w+\b")
 _PLAIN = str.maketrans({"1": "i", "0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "*": None})
@@ -87,8 +88,8 @@ class Votes:
             mask |= any(m in hits for m in _ATTACK.findall(low)) << 9
         if any(c in low for c in "*@$013457"):
             mask |= any(w.translate(_PLAIN) in BUILT_IN for w in _MASKED.findall(low)) << 10
-        caps = sum(map(str.isupper, text[::7]))
-        mask |= (caps * 7 * 2 > len(text)) << 11
+        caps = len(text) - len(text.encode().translate(None, _CAPITALS)) if text.isascii() else sum(map(str.isupper, text))
+        mask |= (caps * 2 > len(text)) << 11
         mask |= (text.count("!!") * 40 > len(words)) << 12
         return mask
 

@@ -298,6 +298,12 @@ def test_toxicity_without_labels_uses_the_lexicons(spark):
     assert got == set(range(0, 60, 6))
 
 
+def test_shouting_counts_all_capitals():
+    votes = toxicity.Votes(frozenset())
+    texts = {"Hello there": 0, "aBCDEFGh": 1, "ABCDEFGhijklmnO": 1, "ÉÀÈÙÂÊé": 1, "Élan vital": 0}
+    assert {t: votes(t) >> 11 & 1 for t in texts} == texts
+
+
 def test_label_model_learns_accuracies_and_correlations():
     rng = np.random.default_rng(3)
     y = rng.random(20_000) < 0.1
