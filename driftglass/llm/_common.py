@@ -153,22 +153,26 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(keys)))
 
 
-def key_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables holding whole groups of a partition sorted by key; only the last open group is carried over."""
-    rest: pa.Table | None = None
+def key_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Tables holding whole groups of a partition sorted by keys; only the last open group is carried over."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        k = table.column(key).to_numpy()
-        cut = int(np.searchsorted(k, k[-1], "left"))
-        rest = table.slice(cut)
+        last = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        other = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in last]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if not cut and held:
+            before = [held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() for k in keys]
+            if before != [x[0].item() for x in last]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
         if cut:
-            yield table.slice(0, cut).combine_chunks()
-    if rest is not None:
-        yield rest.combine_chunks()
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:

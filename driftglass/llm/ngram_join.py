@@ -1,22 +1,27 @@
-"""N-gram Jaccard join: all pairs of documents whose word 3-gram sets reach a Jaccard similarity.
+"""N-gram Jaccard join: documents whose word 3-gram sets reach a Jaccard similarity, as classes and links.
 
 Parity sketches. A set is cut into chunks by a hash of its grams; each chunk is the XOR of 64-bit
 patterns of its grams, so a gram in one set but not the other changes one chunk, and the number
 of differing chunks bounds the symmetric difference from below. Per size band the differences
 that the threshold allows are spread over the chunks, so that by the pigeonhole principle some
-chunk stays equal; sets meet when a chunk is equal (KEYS chunks are tried, about as many exist as
-grams may differ; that fails with a chance of up to about one in a hundred at the very threshold
-and less above it). Pairs whose smaller set has fewer than 16 grams meet by their grams, without
-fail. A dense one-bit parity sketch then rejects pairs
-whose Hamming distance exceeds the allowed difference, and the rest are verified exactly.
-
-Sets that are equal are joined once, through their least doc_id, and each other member is paired
-with that id at 1.0. Groups of equal membership are verified once, each pair only in the first
-chunk it shares, so documents with thousands of partners cost no repeated work and no cap exists.
-
-Defined results: a NULL doc_id or text takes no part; a text without words takes no part; a text
-of fewer than three words counts as one gram; a doc_id repeated with the same text is one
-document; pairs of an id with itself are left out; other columns are ignored.
+chunk stays equal; sets meet when a chunk is equal. Pairs whose smaller set has fewer than 128
+grams have grams for chunks, half of them and one more, of which two sets at the threshold share
+one without fail. Of longer sets KEYS chunks are tried, where about as many exist as grams may
+differ; that fails with a chance of at most 1 in 10,000 at the very threshold, for the least
+favourable sizes, and less above it. A dense one-bit parity sketch then rejects pairs whose
+Hamming distance exceeds the allowed difference, and the rest are verified exactly.
+
+Result: one row per document with its class (the least doc_id of its connected component) and the
+number of other documents it is linked to. Sets that are equal are joined once and count as many
+times as they have documents; links between different sets are counted, never listed: a group of
+sets that share a chunk is verified in blocks of bounded size, each pair only in the first chunk it
+shares, and yields one row per set. Keys that are hot in a partition are cut into blocks before
+they are shuffled, so no task receives all members of a large group.
+
+Defined results: a row with a NULL doc_id or text, or a text without words, has no row in the
+result; a text of fewer than three words counts as one gram; rows with the same doc_id and the
+same grams are one document, and a doc_id with different sets has a row for each; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,13 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from driftglass.llm._common import broadcast_if_small, column, components, key_groups, materialise, mix, released, runs, shingle_hashes, slices, token_hashes, U64, whole_partition
+from driftglass.llm._common import broadcast_if_small, column, components, key_groups, materialise, mix, released, runs, shingle_hashes, slices, token_hashes, U64
 
-GRAM, THRESHOLD, KEYS = 3, 0.5, 64
+GRAM, THRESHOLD, KEYS = 3, 0.5, 128
 #: Where the smaller set is in a band up to this one, the keys are grams.
-SHORT = 3
+SHORT = 6
+#: Grams that the sets of one block may have, and the most sets; larger groups are verified block by block.
+BLOCK_GRAMS, BLOCK_SETS = 1 << 19, 1024
+#: A key with so many sets in one partition may be hot everywhere.
+LOCALLY_HOT = 64
 _SKETCH_BITS = 1024
 _MASK = U64((1 << 48) - 1)
+#: A row's place: its band of meeting times _BAND, plus _LOW where its own band is one above, plus the chunk.
+_BAND, _LOW = 512, 256
 
 
 def gram_set(text: str) -> np.ndarray:
@@ -49,19 +60,23 @@ def band_of(n: int) -> int:
     return int(n).bit_length() - 1
 
 
+def block_sets(band: int, most: int) -> int:
+    """Sets of a band, and of the next, that one block may hold."""
+    return max(2, min(most, BLOCK_GRAMS >> (band + 1)))
+
+
 def chunk_keys(grams: np.ndarray, band: int) -> np.ndarray:
     """Keys for pairs whose smaller set is in band: of the first KEYS chunks, 0 where a chunk says too little, or of grams."""
     if band <= SHORT:  # of two sets that reach one half, these least grams have one in common
-        return mix(np.sort(mix(grams ^ U64(0x5BD1E995)))[: len(grams) // 2 + 1] + U64(band)) | U64(1)
+        return np.sort(mix(mix(grams ^ U64(0x5BD1E995)) + U64(band)) | U64(1))[: len(grams) // 2 + 1]
     # about as many chunks as grams may differ: more would be too small, in fewer none stays equal
-    chunks = 2 << band if band <= 5 else 1 << band
-    at = (mix(grams ^ U64(0x5BD1E995)) >> U64(16)) % U64(chunks)
+    at = (mix(grams ^ U64(0x5BD1E995)) >> U64(16)) & U64((1 << band) - 1)
     near = at < KEYS
     at, pattern = at[near].astype(np.int64), mix(grams[near])
-    out = np.zeros(min(chunks, KEYS), U64)
+    out = np.zeros(KEYS, U64)
     np.bitwise_xor.at(out, at, pattern)
-    filled = np.bincount(at, minlength=len(out)) >= (1 if band <= 5 else 2)
-    keys = mix(out ^ mix(np.arange(len(out), dtype=U64) + U64(band * 1000 + 1))) | U64(1)
+    filled = np.bincount(at, minlength=KEYS) >= 2
+    keys = mix(out ^ mix(np.arange(KEYS, dtype=U64) + U64(band * 1000 + 1))) | U64(1)
     return np.where(filled, keys, U64(0))
 
 
@@ -69,130 +84,257 @@ def parity_sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((mix(grams ^ U64(0x1234567)) % U64(_SKETCH_BITS)).astype(np.int64), minlength=_SKETCH_BITS) & 1).astype(np.uint8).view(np.uint64)
 
 
+def set_id(grams: np.ndarray) -> int:
+    return xxh3_64_intdigest(grams.tobytes())
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, U64).view(np.int64), pa.int64())
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        ids, sids, keys, chunk = [], [], [], []
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        kept, sids, keys, place = [], [], [], []
+        for k, text in enumerate(b.column(2).to_pylist()):
             g = gram_set(text)
             if not len(g):
                 continue
             band = band_of(len(g))
             own = chunk_keys(g, band)
             low = chunk_keys(g, band - 1) if band else np.empty(0, U64)
-            ids.append(i)
-            sids.append(xxh3_64_intdigest(g.tobytes()))
+            kept.append(k)
+            sids.append(set_id(g))
             keys.append(np.concatenate((own[own > 0], low[low > 0])).view(np.int64))
-            chunk.append(np.concatenate((np.flatnonzero(own) * (band > SHORT), np.flatnonzero(low) * (band - 1 > SHORT) + 128)).astype(np.int16))
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "sid": pa.array(np.array(sids, U64).view(np.int64), pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "chunk": pa.array(chunk, pa.list_(pa.int16()))})
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of two or more sets that share a chunk, one row each, from rows partitioned by key."""
-    table = whole_partition(batches)
-    if table is None:
-        return
-    key, sid, chunk, rep = (column(table, c) for c in ("key", "sid", "chunk", "rep"))
-    order = np.lexsort((sid, key))
-    key, sid, chunk, rep = key[order], sid[order], chunk[order], rep[order]
-    starts, sizes = runs(key)
-    wide = sizes > 1
-    starts, sizes = starts[wide], sizes[wide]
-    if not len(starts):
-        return
-    owned = np.concatenate(([0], np.cumsum(chunk < 128)))
-    has_own = owned[starts + sizes] > owned[starts]
-    out = {"members": [], "chunk": [], "sids": [], "reps": []}
-    for s, n, own in zip(starts.tolist(), sizes.tolist(), has_own.tolist(), strict=True):
-        ids = sid[s : s + n]
-        if own and ids[0] != ids[-1]:
-            out["members"].append(xxh3_64_intdigest(ids.tobytes() + (chunk[s : s + n] < 128).tobytes()))
-            out["chunk"].append(int(chunk[s]) & 127)
-            out["sids"].append(ids)
-            out["reps"].append(rep[s : s + n])
-        if len(out["sids"]) >= 20_000:
-            yield _groups(out)
-            out = {k: [] for k in out}
-    yield _groups(out)
+            place.append(np.concatenate((np.flatnonzero(own) * (band > SHORT) + band * _BAND, np.flatnonzero(low) * (band - 1 > SHORT) + (band - 1) * _BAND + _LOW)).astype(np.int16))
+        rows = b.take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "fp": rows.column(1), "sid": _signed(sids), "keys": pa.array(keys, pa.list_(pa.int64())), "place": pa.array(place, pa.list_(pa.int16()))})
+
+
+def _locally_hot(least: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys that many sets of a partition have, counted slice by slice: those that are rare in a slice are let go."""
+        found: dict[int, list[int]] = {}
+        for b in slices(batches, 20_000):
+            keys, at, n = np.unique(b.column(0).flatten().to_numpy(), return_index=True, return_counts=True)
+            place = b.column(1).flatten().to_numpy()
+            for k in np.flatnonzero(n > 1).tolist():
+                if (key := int(keys[k])) in found:
+                    found[key][1] += int(n[k])
+                elif n[k] >= least // 8:
+                    found[key] = [int(place[at[k]]) // _BAND, int(n[k])]
+        hot = [(k, *v) for k, v in found.items() if v[1] >= least]
+        yield pa.RecordBatch.from_pydict({"key": pa.array([h[0] for h in hot], pa.int64()), "band": pa.array([h[1] for h in hot], pa.int32()), "n": pa.array([h[2] for h in hot], pa.int64())})
+
+    return find
+
+
+def _meet(most: int):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups of two or more sets that share a chunk, in blocks, one row each, from rows sorted by key, cell, side and set."""
+        names = ("members", "first", "left", "right")
+        out: dict[str, list] = {k: [] for k in names}
+        for table in key_groups(batches, "key", "cell"):
+            key, cell, side, sid, place = (column(table, c) for c in ("key", "cell", "side", "sid", "place"))
+            starts, sizes = runs(mix(key.view(U64)) + cell.view(U64))
+            wide = sizes > 1
+            starts, sizes = starts[wide], sizes[wide]
+            own = np.concatenate(([0], np.cumsum(place % _BAND < _LOW)))
+            has_own = own[starts + sizes] > own[starts]
+            for s, n in zip(starts[has_own].tolist(), sizes[has_own].tolist(), strict=True):
+                ids, band = sid[s : s + n], int(place[s]) // _BAND
+                if ids[0] == ids[-1] and side[s] == side[s + n - 1]:
+                    continue
+                first = int(key[s].view(np.uint64) >> U64(1)) if band <= SHORT else int(place[s]) % _LOW
+                low = place[s : s + n] % _BAND >= _LOW
+                if side[s : s + n].max() > 0:
+                    parts = [(np.flatnonzero(side[s : s + n] == 1), np.flatnonzero(side[s : s + n] == 2))]
+                else:
+                    step = block_sets(band, most)
+                    cuts = [np.arange(i, min(i + step, n)) for i in range(0, n, step)]
+                    parts = [(a, b if j else cuts[0][:0]) for i, a in enumerate(cuts) for j, b in enumerate(cuts[i:])]
+                for a, b in parts:
+                    if len(a) and (len(b) or len(a) > 1):
+                        # groups of the same sets in the same roles do the same work
+                        out["members"].append(xxh3_64_intdigest(b"%d:%d:" % (band, len(a)) + ids[a].tobytes() + ids[b].tobytes() + low[a].tobytes() + low[b].tobytes()))
+                        out["first"].append(band << 58 | first >> 6 if band <= SHORT else band << 58 | first)
+                        out["left"].append(ids[a])
+                        out["right"].append(ids[b])
+            if len(out["left"]) >= 5000:
+                yield _groups(out)
+                out = {k: [] for k in names}
+        yield _groups(out)
+
+    return meet
 
 
 def _groups(out: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"members": pa.array(np.array(out["members"], U64).view(np.int64), pa.int64()), "chunk": pa.array(out["chunk"], pa.int16()), "sids": pa.array(out["sids"], pa.list_(pa.int64())), "reps": pa.array(out["reps"], pa.list_(pa.int64()))})
+    return pa.RecordBatch.from_pydict({"members": _signed(out["members"]), "first": _signed(out["first"]), "left": pa.array(out["left"], pa.list_(pa.int64())), "right": pa.array(out["right"], pa.list_(pa.int64()))})
+
+
+class _Block:
+    """Some sets with their lengths, parity sketches and keys."""
+
+    def __init__(self, sets: list[np.ndarray], band: int):
+        self.sets, self.band = sets, band
+        self.length = np.array([len(g) for g in sets])
+        self.sketch = np.stack([parity_sketch(g) for g in sets])
+        self.low = np.array([band_of(len(g)) > band for g in sets])
+        self._keys = None
+
+    @property
+    def keys(self) -> np.ndarray:
+        if self._keys is None:
+            rows = [chunk_keys(g, self.band) for g in self.sets]
+            self._keys = np.zeros((len(rows), max(map(len, rows))), U64)
+            for r, k in zip(self._keys, rows, strict=True):
+                r[: len(k)] = k
+        return self._keys
+
+
+def common_grams(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many grams left[i] and right[j] have in common: one by one where pairs are few, else as products of 0-1 matrices."""
+    if len(i) * 50 < len(left) * len(right) or len(i) < 8:
+        return np.array([len(np.intersect1d(left[a], right[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    ends = [np.repeat(np.arange(len(side)), [len(g) for g in side]) for side in (left, right)]
+    values, code, n = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    shared = n > 1
+    code = np.where(shared[code], np.cumsum(shared)[code] - 1, -1)
+    codes = code[: len(ends[0])], code[len(ends[0]) :]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for t in range(0, int(shared.sum()), 4096):
+        tile = []
+        for side, end, c in zip((left, right), ends, codes, strict=True):
+            here = (c >= t) & (c < t + 4096)
+            m = np.zeros((len(side), 4096), np.float32)
+            m[end[here], c[here] - t] = 1
+            tile.append(m)
+        total += tile[0] @ tile[1].T
+    return total[i, j].astype(np.int64)
+
+
+def linked(left: _Block, right: _Block | None, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs of left with right, or within left, that have not met before this group's first chunk or gram."""
+    within, right = right is None, left if right is None else right
+    length, other = left.length[:, None], right.length[None, :]
+    ok = (np.minimum(length, other) >= THRESHOLD * np.maximum(length, other)) & ~(left.low[:, None] & right.low[None, :])
+    if within:
+        ok &= np.arange(len(left.sets))[:, None] < np.arange(len(right.sets))[None, :]
+    i, j = np.nonzero(ok)
+    differ = np.zeros(len(i), np.int64)
+    for s in range(0, len(i), 65536):
+        differ[s : s + 65536] = np.bitwise_count(left.sketch[i[s : s + 65536]] ^ right.sketch[j[s : s + 65536]]).sum(1)
+    near = differ <= (1 - THRESHOLD) / (1 + THRESHOLD) * (left.length[i] + right.length[j]) + 1e-9
+    i, j = i[near], j[near]
+    new = np.ones(len(i), bool)
+    for s in range(0, len(i), 8192):
+        x, y = left.keys[i[s : s + 8192]], right.keys[j[s : s + 8192]]
+        if left.band <= SHORT:  # the least gram that both have for a key
+            same = (x[:, :, None] == y[:, None, :]).any(2) & (x > 0)
+            least = np.where(same, x, U64(2**64 - 1)).min(1)
+            new[s : s + 8192] = least >> U64(7) == U64(first)
+        else:
+            new[s : s + 8192] = ~((x[:, :first] == y[:, :first]) & (x[:, :first] > 0)).any(1)
+    i, j = i[new], j[new]
+    common = common_grams(left.sets, right.sets, i, j)
+    true = common >= THRESHOLD * (left.length[i] + right.length[j] - common)
+    return i[true], j[true]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact similarity of the pairs of each group, each pair in the first chunk it shares."""
-    ours, theirs, sims = [], [], []
+    """(sid, root, links) of the sets of each group that have links in it; root is a set they are connected with."""
     for table in key_groups(batches, "members"):
-        member = column(table, "members")
-        texts, sids, reps, chunks = table.column("text"), column(table, "sid"), column(table, "rep"), column(table, "chunk")
+        member, texts = column(table, "members"), table.column("text")
+        sids, firsts, sides, n_docs = (column(table, c) for c in ("sid", "first", "side", "n"))
+        rows: list[list[np.ndarray]] = [[], [], []]
         starts, sizes = runs(member)
         for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-            sets, rep, seen = [], [], set()
+            band, first = int(firsts[s]) >> 58, int(firsts[s]) & ((1 << 58) - 1)
+            at: list[list[int]] = [[], []]
+            sets: list[list[np.ndarray]] = [[], []]
+            seen = set()
             for r in range(s, s + n):
-                if int(sids[r]) not in seen:
-                    g = gram_set(texts[r].as_py())
-                    if np.int64(np.uint64(xxh3_64_intdigest(g.tobytes())).view(np.int64)) == sids[r]:
-                        seen.add(int(sids[r]))
-                        sets.append(g)
-                        rep.append(int(reps[r]))
-            if len(sets) < 2:
+                if (who := (int(sids[r]), int(sides[r]))) not in seen:
+                    seen.add(who)
+                    at[who[1]].append(r)
+                    sets[who[1]].append(gram_set(texts[r].as_py()))
+            if not at[0] or (not at[1] and len(at[0]) < 2):
+                continue
+            i, j = linked(_Block(sets[0], band), _Block(sets[1], band) if at[1] else None, first)
+            if not len(i):
                 continue
-            chunk = int(chunks[s])
-            bands = np.array([band_of(len(g)) for g in sets])
-            low = int(bands.min())
-            order = np.argsort(bands, kind="stable")
-            sets, rep, bands = [sets[i] for i in order], [rep[i] for i in order], bands[order]
-            length = np.array([len(g) for g in sets])
-            keys = np.stack([chunk_keys(g, low)[:chunk] for g in sets])
-            sketches = np.stack([parity_sketch(g) for g in sets])
-            for i in range(int((bands == low).sum())):
-                j = np.arange(i + 1, len(sets))
-                earlier = ((keys[i + 1 :] == keys[i]) & (keys[i] > 0)).any(1) if chunk else np.zeros(len(j), bool)
-                total = length[j] + length[i]
-                allowed = (1 - THRESHOLD) / (1 + THRESHOLD) * total
-                differ = np.bitwise_count(sketches[i + 1 :] ^ sketches[i]).sum(1)
-                for k in j[~earlier & (np.minimum(length[j], length[i]) >= THRESHOLD * np.maximum(length[j], length[i])) & (differ <= allowed + 1e-9)].tolist():
-                    common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-                    union = int(length[i] + length[k]) - common
-                    if common >= THRESHOLD * union and rep[i] != rep[k]:
-                        ours.append(min(rep[i], rep[k]))
-                        theirs.append(max(rep[i], rep[k]))
-                        sims.append(round(common / union, 6))
-        if len(ours) > 50_000:
-            yield _pairs(ours, theirs, sims)
-            ours, theirs, sims = [], [], []
-    yield _pairs(ours, theirs, sims)
-
-
-def _pairs(a: list, b: list, s: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"doc_id_a": pa.array(a, pa.int64()), "doc_id_b": pa.array(b, pa.int64()), "jaccard": pa.array(s, pa.float64())})
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard), a < b: pairs of distinct sets by their least ids, and members of equal sets with theirs."""
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    described = texts.mapInArrow(released(_describe), "doc_id bigint, sid bigint, keys array<bigint>, chunk array<smallint>")
-    sets = materialise(described.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("chunk").alias("chunk"), F.collect_set("doc_id").alias("docs")), "ngram-sets")
-    rows = sets.select("sid", "rep", F.explode(F.arrays_zip("keys", "chunk")).alias("k")).select(F.col("k.keys").alias("key"), "sid", "rep", F.col("k.chunk").alias("chunk"))
-    groups = rows.repartition("key").mapInArrow(released(_meet), "members bigint, chunk smallint, sids array<bigint>, reps array<bigint>")
-    # groups of the same sets say the same: one of them, with the first chunk, stands for all
-    groups = groups.groupBy("members").agg(F.min_by(F.struct("chunk", "sids", "reps"), "chunk").alias("g"))
-    shipped = materialise(groups.select("members", F.col("g.chunk").alias("chunk"), F.explode(F.arrays_zip(F.col("g.sids").alias("sid"), F.col("g.reps").alias("rep"))).alias("m")).select("members", "chunk", F.col("m.sid").alias("sid"), F.col("m.rep").alias("rep")), "ngram-groups")
-    wanted = materialise(shipped.select(F.col("rep").alias("doc_id")).distinct(), "ngram-ids")
-    asked = texts.join(broadcast_if_small(wanted, 24), "doc_id", "left_semi")
-    sent = shipped.join(asked, F.col("rep") == F.col("doc_id")).select("members", "chunk", "sid", "rep", "text")
-    pairs = sent.repartition("members").sortWithinPartitions("members").mapInArrow(released(_verify), "doc_id_a bigint, doc_id_b bigint, jaccard double")
-    equal = sets.select(F.col("rep").alias("doc_id_a"), F.explode("docs").alias("doc_id_b")).where("doc_id_a <> doc_id_b").withColumn("jaccard", F.lit(1.0))
-    # short sets may meet by several grams
-    return pairs.distinct().unionByName(equal)
+            place = np.array(at[0] + at[1])
+            j = j + (len(at[0]) if at[1] else 0)
+            label = np.arange(len(place))
+            while True:  # of each connected part its first set
+                least = label.copy()
+                np.minimum.at(least, i, label[j])
+                np.minimum.at(least, j, label[i])
+                least = least[least]
+                if (least == label).all():
+                    break
+                label = least
+            weight = n_docs[place].astype(float)
+            links = np.bincount(i, weight[j], len(place)) + np.bincount(j, weight[i], len(place))
+            some = np.flatnonzero(links)
+            for k, v in enumerate((sids[place[some]], sids[place[label[some]]], links[some].astype(np.int64))):
+                rows[k].append(v)
+        if rows[0]:
+            yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(v)) for c, v in zip(("sid", "root", "links"), rows, strict=True)})
+
+
+def _rows(described: DataFrame, most: int, least: int) -> DataFrame:
+    """(key, cell, side, sid, place) of every set; cell is 0, or says which two blocks of a hot key meet, and side in which of them the set is."""
+    keyed = described.groupBy("sid").agg(F.first("keys").alias("keys"), F.first("place").alias("place"))
+    rows = keyed.select("sid", F.explode(F.arrays_zip("keys", "place")).alias("k")).select(F.col("k.keys").alias("key"), "sid", F.col("k.place").alias("place"))
+    hot = described.select("keys", "place").mapInArrow(released(_locally_hot(least)), "key bigint, band int, n bigint").groupBy("key").agg(F.min("band").alias("band"), F.sum("n").alias("n"))
+    room = F.greatest(F.lit(2), F.least(F.lit(most), F.expr(f"shiftright({BLOCK_GRAMS}, band + 1)")))
+    hot = materialise(hot.select("key", F.ceil(F.col("n") / room).cast("bigint").alias("blocks")).where("blocks > 1"), "ngram-hot")
+    if not hot.count():
+        return rows.select("key", F.lit(0).cast("bigint").alias("cell"), F.lit(0).cast("tinyint").alias("side"), "sid", "place")
+    rows = rows.join(broadcast_if_small(hot, 24), "key", "left").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), "blocks"))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
+    side = F.when(F.col("x") == F.col("own"), 0).when(F.col("own") < F.col("x"), 1).otherwise(2)
+    cell = F.shiftleft(F.least("x", "own"), 31) + F.greatest("x", "own")
+    return rows.select("key", F.coalesce(cell, F.lit(0)).cast("bigint").alias("cell"), F.when(F.col("blocks").isNull(), 0).otherwise(side).cast("tinyint").alias("side"), "sid", "place")
+
+
+def _classes(docs: DataFrame, most: int = BLOCK_SETS, least: int = LOCALLY_HOT) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, fp, sid), fp the fingerprint of a text, and sets (sid, class_id, n_links)."""
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    described = materialise(texts.mapInArrow(released(_describe), "doc_id bigint, fp bigint, sid bigint, keys array<bigint>, place array<smallint>"), "ngram-described")
+    sets = described.groupBy("sid", "doc_id").agg(F.min("fp").alias("fp")).groupBy("sid").agg(F.min(F.struct("doc_id", "fp")).alias("rep"), F.count("*").alias("n"))
+    sets = materialise(sets.select("sid", F.col("rep.doc_id").alias("rep"), F.col("rep.fp").alias("fp"), "n"), "ngram-sets")
+    rows = _rows(described, most, least)
+    groups = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "side", "sid").mapInArrow(released(_meet(most)), "members bigint, first bigint, left array<bigint>, right array<bigint>")
+    # groups of the same sets do the same work: one of them, with the first chunk, stands for all
+    groups = groups.groupBy("members").agg(F.min_by(F.struct("first", "left", "right"), "first").alias("g"))
+    sides = F.expr("concat(transform(g.left, x -> struct(x as sid, 0Y as side)), transform(g.right, x -> struct(x as sid, 1Y as side)))")
+    shipped = materialise(groups.select("members", F.col("g.first").alias("first"), F.explode(sides).alias("m")).select("members", "first", "m.sid", "m.side"), "ngram-groups")
+    wanted = materialise(sets.join(broadcast_if_small(shipped.select("sid").distinct(), 16), "sid", "left_semi"), "ngram-wanted")
+    asked = texts.join(broadcast_if_small(wanted.select(F.col("rep").alias("doc_id"), "fp", "sid", "n"), 48), ["doc_id", "fp"]).select("sid", "n", "text")
+    sent = shipped.join(asked, "sid").select("members", "first", "sid", "side", "n", "text")
+    found = materialise(sent.repartition("members").sortWithinPartitions("members").mapInArrow(released(_verify), "sid bigint, root bigint, links bigint"), "ngram-links")
+    roots = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")), "ngram-parts")
+    linked_sets = found.groupBy("sid").agg(F.sum("links").alias("links")).join(sets.select("sid", "rep"), "sid").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    linked_sets = materialise(linked_sets, "ngram-linked")
+    named = linked_sets.groupBy("root").agg(F.min("rep").alias("class_id"))
+    linked_sets = materialise(linked_sets.join(broadcast_if_small(materialise(named, "ngram-names"), 24), "root").select("sid", "class_id", "links"), "ngram-classes")
+    out = sets.join(broadcast_if_small(linked_sets, 32), "sid", "left")
+    return described.select("doc_id", "fp", "sid"), out.select("sid", F.coalesce("class_id", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def near_copies(docs: DataFrame, block: int = BLOCK_SETS, locally_hot: int = LOCALLY_HOT) -> DataFrame:
+    """(doc_id, class_id, n_links): every document, the least doc_id it is connected with, and how many others it is linked to."""
+    members, sets = _classes(docs, block, locally_hot)
+    return members.select("doc_id", "sid").distinct().join(sets, "sid").select("doc_id", "class_id", "n_links")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with only the least doc_id of each group of near copies (a connected component of the pairs)."""
-    pairs = near_copies(docs).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-    gone = materialise(components(pairs, "ngram-groups").select(F.col("id").alias("__gone")), "ngram-gone")
-    gone = broadcast_if_small(gone, 24)
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs with only the least doc_id of each class; rows that take no part stay."""
+    members, sets = _classes(docs)
+    gone = members.join(sets, "sid").where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__fp")).distinct()
+    gone = broadcast_if_small(materialise(gone, "ngram-gone"), 32)
+    return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__fp"]), "left_anti")
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -200,18 +342,20 @@ def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents
   WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 grams AS (
-  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g
   FROM words WHERE len(w) > 0),
-sets AS (SELECT DISTINCT g, min(doc_id) OVER (PARTITION BY g) AS rep FROM grams),
-one AS (SELECT rep, len(g) AS n, unnest(g) AS gram FROM sets),
-common AS (SELECT a.rep AS doc_id_a, b.rep AS doc_id_b, a.n AS na, b.n AS nb, count(*) AS c
-  FROM one a JOIN one b ON a.gram = b.gram AND a.rep < b.rep GROUP BY ALL)
-SELECT doc_id_a, doc_id_b, round(c / (na + nb - c), 6) AS jaccard FROM common WHERE c >= 0.5 * (na + nb - c)
-UNION ALL
-SELECT DISTINCT rep, doc_id, 1.0::DOUBLE FROM grams JOIN sets USING (g) WHERE rep <> doc_id
+sets AS MATERIALIZED (SELECT row_number() OVER () AS s, * FROM (SELECT g, min(doc_id) AS rep, count(*) AS n FROM grams GROUP BY g)),
+one AS MATERIALIZED (SELECT s, len(g) AS size, unnest(g) AS gram FROM sets),
+links AS MATERIALIZED (SELECT a.s AS a, b.s AS b FROM one a JOIN one b ON a.gram = b.gram AND a.s <> b.s
+  GROUP BY a.s, b.s, a.size, b.size HAVING count(*) >= 0.5 * (a.size + b.size - count(*))),
+reach AS (SELECT s AS a, s AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+classes AS (SELECT reach.a AS s, min(rep) AS class_id FROM reach JOIN sets ON reach.b = sets.s GROUP BY reach.a),
+degrees AS (SELECT links.a AS s, sum(n) AS n FROM links JOIN sets ON links.b = sets.s GROUP BY links.a)
+SELECT doc_id, class_id, (sets.n - 1 + coalesce(degrees.n, 0))::BIGINT AS n_links
+FROM grams JOIN sets USING (g) JOIN classes USING (s) LEFT JOIN degrees USING (s)
 """

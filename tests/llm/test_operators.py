@@ -42,7 +42,7 @@ def labels(spark, rows=()):
 OPERATORS = {
     "op1": (lambda d, l: substring_dedup.repeated_passages(d), {"doc_id", "source_id", "start_word"}),
     "op2": (lambda d, l: lm_scoring.score_documents(d), {"doc_id", "log_score"}),
-    "op3": (lambda d, l: ngram_join.near_copies(d), {"doc_id_a", "doc_id_b", "jaccard"}),
+    "op3": (lambda d, l: ngram_join.near_copies(d), {"doc_id", "class_id", "n_links"}),
     "op4": (toxicity.score_toxicity, {"doc_id", "toxic"}),
     "op5": (lambda d, l: exact_dedup.exact_copies(d), {"doc_id", "keep_id"}),
     "op6": (lambda d, l: sharding.shard(d), {"doc_id", "shard"}),
@@ -121,33 +121,57 @@ def grams(t):
     return {tuple(w)} if 0 < len(w) < 3 else {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
 
 
-def test_near_copies_match_brute_force(spark):
-    rng = random.Random(2)
+def classes_by_brute_force(rows):
+    """(doc_id, class_id, n_links) counted: documents are distinct (doc_id, gram set)."""
+    docs = sorted({(i, frozenset(grams(t))) for i, t, _ in rows if i is not None and t is not None and t.split()}, key=lambda d: d[0])
+    links = [[j for j, b in enumerate(docs) if j != k and len(a[1] & b[1]) >= 0.5 * len(a[1] | b[1])] for k, a in enumerate(docs)]
+    root = list(range(len(docs)))
+    for _ in docs:
+        root = [min([root[k], *(root[j] for j in links[k])]) for k in range(len(docs))]
+    return sorted((d[0], docs[root[k]][0], len(links[k])) for k, d in enumerate(docs))
+
+
+def near_rows(rng):
     texts = []
     for n in (4, 9, 20, 40, 90, 150, 400, 1200):
         base = words(rng, n)
         texts += [base] + [near(rng, base, max(1, int(n * e))) for e in (0.02, 0.05, 0.08, 0.1, 0.02, 0.04)] + [words(rng, n)]
-    texts += [texts[30]] * 2
-    rows = [(i, t, "a") for i, t in enumerate(texts)]
-    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in ngram_join.near_copies(table(spark, rows)).collect()}
-    sets = [grams(t) for t in texts]
-    want = {(i, j): round(len(a & b) / len(a | b), 6) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= 0.5 * len(a | b) and not any(sets[k] == a for k in range(i)) and (a == b or not any(sets[k] == b for k in range(j)))}
-    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
-    assert all(abs(want[k] - v) < 1e-6 for k, v in got.items())
+    return [(i, t, "a") for i, t in enumerate(texts + [texts[30]] * 2)]
+
+
+@pytest.mark.parametrize("block,hot", [(1024, 64), (2, 64), (3, 8)])
+def test_near_copies_match_brute_force(spark, block, hot):
+    """Also where groups are cut into blocks after the shuffle, or hot keys before it."""
+    rng = random.Random(2)
+    rows = near_rows(rng)
+    base = words(rng, 200)
+    rows += [(1000 - i, near(rng, base, 2), "a") for i in range(40)] + [(3, "other words here", "b"), (5, rows[5][1], "b")]
+    got = sorted(tuple(r) for r in ngram_join.near_copies(table(spark, rows), block, hot).collect())
+    assert got == classes_by_brute_force(rows)
+
+
+def pair_of_sets(rng, n, m, common):
+    both = rng.permutation(np.unique(rng.integers(0, 1 << 48, n + m - common, dtype=np.uint64)))
+    return np.sort(both[:n]), np.sort(both[n - common :])
 
 
-@pytest.mark.parametrize("n,m,common", [(1, 2, 1), (2, 4, 2), (3, 3, 2), (15, 30, 15), (127, 254, 127), (255, 510, 255), (255, 460, 255), (300, 300, 200), (2000, 3600, 2000)])
+@pytest.mark.parametrize("n,m,common", [(1, 2, 1), (2, 4, 2), (3, 3, 2), (15, 30, 15), (64, 64, 43), (127, 254, 127), (255, 510, 255), (255, 460, 255), (300, 300, 200), (1000, 1000, 667), (1000, 1000, 710), (1000, 1000, 750), (2000, 3600, 2000), (5000, 5000, 3334), (4095, 8190, 4095)])
 def test_sets_at_the_threshold_meet(n, m, common):
+    """Of 1,000 pairs at a similarity of 0.5 to 0.6, all; up to 127 grams by construction."""
     rng = np.random.default_rng(n)
-    met = 0
-    for _ in range(200):
-        both = np.unique(rng.integers(0, 1 << 48, n + m - common, dtype=np.uint64))
-        both = rng.permutation(both)
-        a, b = np.sort(both[:n]), np.sort(both[n - common :])
-        low = min(ngram_join.band_of(n), ngram_join.band_of(m))
-        keys = [set(ngram_join.chunk_keys(x, low).tolist()) - {0} for x in (a, b)]
-        met += bool(keys[0] & keys[1])
-    assert met == 200 if n < 16 else met >= 195
+    low = min(ngram_join.band_of(n), ngram_join.band_of(m))
+    for _ in range(1000):
+        a, b = (set(ngram_join.chunk_keys(x, low).tolist()) - {0} for x in pair_of_sets(rng, n, m, common))
+        assert a & b
+
+
+def test_counted_grams_of_many_and_few_pairs():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 48, 6000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, 900)) for _ in range(30)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(30), np.arange(30)))
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    assert ngram_join.common_grams(sets, sets, i, j).tolist() == want and ngram_join.common_grams(sets, sets, i[:5], j[:5]).tolist() == want[:5]
 
 
 def test_near_copies_keep_one_of_each_group(spark):
