@@ -6,8 +6,9 @@ whose bin count equals its bound is certified. Partitions with a gap release the
 their unfilled bins, which meet in fresh partitions and are packed again; a round is kept only
 where it saves bins, and the rounds end when no partition has a gap or nothing was saved.
 
-A document longer than CAPACITY is cut into whole sequences and a rest; sizes are estimated
-tokens, BYTES_PER_TOKEN bytes of UTF-8 each, rounded up.
+Sizes are the tokens of each whole text under the vocabulary that operator 8 encodes with, so
+start_token and n_tokens say which of its token_ids a piece holds. A document longer than
+CAPACITY is cut into whole sequences and a rest.
 
 Defined results: rows with a NULL or empty text have nothing to pack and get a NULL bin_id and no
 tokens; a NULL doc_id is packed like any other; repeated rows are packed once each; an empty table
@@ -16,17 +17,20 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftglass.llm._common import materialise
+from driftglass.llm._common import materialise, released, slices
+from driftglass.llm.bpe import VOCABULARY, counter, load_ranks
 
-CAPACITY, BYTES_PER_TOKEN = 2048, 4
+CAPACITY = 2048
 #: Items per partition: best fit works on one partition at a time, in memory.
 PARTITION_ITEMS = 200_000
-ROUNDS = 4
 _SCHEMA = "part bigint, bin bigint, doc_id bigint, piece bigint, n_tokens int, filled int, bound bigint, bins bigint"
 
 
@@ -85,10 +89,21 @@ def _pack(capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, size): the tokens of every text; 0 for NULL."""
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))  # a vocabulary has a fixed size
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = counter(ranks.value)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "size": pa.array([tokens(t) if t else 0 for t in b.column(1).to_pylist()], pa.int64())})
+
+    return docs.select("doc_id", "text").mapInArrow(released(sizes), "doc_id bigint, size bigint")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, partition_items: int = PARTITION_ITEMS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(bin_id, doc_id, piece, start_token, n_tokens, certified): the pieces of all documents and their sequences."""
-    size = F.ceil(F.octet_length("text") / F.lit(BYTES_PER_TOKEN)).cast("int")
-    rows = docs.select("doc_id", F.coalesce(size, F.lit(0)).alias("size"))
+    rows = token_counts(docs, vocabulary)
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(size - 1) div {capacity}"))).cast("array<bigint>")))
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("int").alias("n_tokens"))
     items = materialise(pieces, "packing-items")
@@ -101,13 +116,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, partition_items: int = PARTI
     first = spread(some, n_parts, 0).groupBy("part").applyInArrow(_pack(capacity), _SCHEMA)
     now = materialise(first.withColumn("round", F.lit(0)), "packing-0")
     kept: list[DataFrame] = []
-    for r in range(1, rounds):
+    for r in count(1):
         gap = now.where("bins > bound")
         loose = gap.where(f"filled < {capacity}")
-        before = loose.select("round", "part", "bin").distinct().count()
+        before, n_loose = loose.select("round", "part", "bin").distinct().count(), loose.count()
         if not before:
             break
-        parts = max(1, gap.select("round", "part").distinct().count() // 2)  # two partitions meet in one
+        parts = -(-n_loose // partition_items)  # what is left of several partitions meets in one
         again = materialise(spread(loose, parts, r).groupBy("part").applyInArrow(_pack(capacity), _SCHEMA).withColumn("round", F.lit(r)), f"packing-{r}")
         if again.select("part", "bins").distinct().agg(F.sum("bins")).first()[0] >= before:
             break
