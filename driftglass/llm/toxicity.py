@@ -6,12 +6,14 @@
 2. The vote patterns of ALL documents are counted; a latent two-class model with a dependency tree
    over the voters is fitted to the counts by EM. It yields each voter's accuracy and, along the
    tree, the class-conditional correlations, hence a posterior for every pattern.
-3. An L1 logistic regression over words and stems is trained on the posteriors of a bounded sample
-   and scores every document, so that forms no voter knows are caught through their stems.
+3. An L1 logistic regression over words, words with masked letters restored, and stems is trained
+   on the posteriors of a bounded sample and scores every document, so that forms no voter knows
+   are caught through their stems. The sample is of the labelled rows; without any, of all rows.
 
 Defined results: a NULL text scores NULL and is not toxic; an empty text scores as no evidence;
-repeated rows are scored alike; with no labels only the built-in lexicons vote; an empty table
-gives an empty result; other columns are ignored.
+repeated rows are scored alike; with no labels the mined lexicons are empty and the other voters
+vote, and a word needs three rows of the sample to count; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from xxhash import xxh3_64_intdigest
 
 from driftglass.llm._common import materialise, released, slices
 
-#: Bound of the labelled sample that lexicons are mined from and the classifier is trained on.
+#: Bound of the sample that lexicons are mined from and the classifier is trained on.
 SAMPLE_ROWS = 8000
 #: A mined term needs this many toxic rows, this share of them, and this precision.
-MIN_ROWS, MIN_SHARE, MIN_PRECISION, MAX_TERMS = 4, 0.02, 0.92, 3000
+MIN_ROWS, MIN_SHARE, MIN_PRECISION = 4, 0.02, 0.92
 L1, ROUNDS, MIN_Z = 2e-3, 150, 2.5
 THRESHOLD = 0.5
 
@@ -45,6 +47,7 @@ _WORD = re.compile(r"\w+")
 _MASKED = re.compile(r"\b[^\W\d_]+[*@$013457]+\w*\b|\b[@$013457]\w+\b")
 _PLAIN = str.maketrans({"1": "i", "0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "*": None})
 _ATTACK = re.compile(r"\b(?:you|u|they)\s*(?:are|re|'re)?\s+(?:such\s+)?(?:an?\s+)?(\w+)")
+_MASKS = "*@$013457"
 VOTERS = ("mind", "worth", "conduct", "mined words", "mined stems a", "mined stems b", "mined stems c", "two hits", "dense hits", "attack", "masked", "shouting", "bursts")
 STEMS = (3, 4, 5, 6, 7, 8)
 
@@ -54,6 +57,15 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in STEMS if len(word) > k)]
 
 
+def words_of(text: str) -> set[str]:
+    """The distinct words of a text, and what masked ones stand for."""
+    low = text.lower()
+    words = set(_WORD.findall(low))
+    if any(c in low for c in _MASKS):
+        words.update(w.translate(_PLAIN) for w in _MASKED.findall(low))
+    return words
+
+
 class Votes:
     """Vote masks of texts; bit i is VOTERS[i]."""
 
@@ -86,7 +98,7 @@ class Votes:
             mask |= (len(hits) > 1) << 7
             mask |= (sum(w in hits for w in words) * 150 > len(words)) << 8
             mask |= any(m in hits for m in _ATTACK.findall(low)) << 9
-        if any(c in low for c in "*@$013457"):
+        if any(c in low for c in _MASKS):
             mask |= any(w.translate(_PLAIN) in BUILT_IN for w in _MASKED.findall(low)) << 10
         caps = len(text) - len(text.encode().translate(None, _CAPITALS)) if text.isascii() else sum(map(str.isupper, text))
         mask |= (caps * 2 > len(text)) << 11
@@ -173,7 +185,7 @@ def train(rows: list[tuple[str, float]]) -> tuple[list[str], np.ndarray, float]:
     index: dict[str, int] = {}
     flat, doc = [], []
     for i, (text, _) in enumerate(rows):
-        f = [index.setdefault(t, len(index)) for w in set(_WORD.findall(text.lower())) for t in terms_of(w)]
+        f = [index.setdefault(t, len(index)) for w in words_of(text) for t in terms_of(w)]
         flat.append(np.array(f, np.int64))
         doc.append(np.full(len(f), i))
     at, doc = np.concatenate(flat), np.concatenate(doc)
@@ -234,7 +246,7 @@ class Scorer:
 
     def __call__(self, text: str) -> float:
         found = []
-        for w in set(_WORD.findall(text.lower())) - self.silent:
+        for w in words_of(text) - self.silent:
             if v := self.word(w):
                 found.append(v)
             else:
@@ -261,8 +273,8 @@ def mine_lexicon(sample: DataFrame) -> frozenset[str]:
     n_bad = sample.where("toxic = 1").count()
     least = max(MIN_ROWS, int(MIN_SHARE * n_bad))
     counted = sample.select("text", "toxic").mapInArrow(released(count), "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    best = counted.where(f"bad >= {least} and bad >= {MIN_PRECISION} * (bad + good)").orderBy(F.desc("bad"), "term").limit(MAX_TERMS)
-    return frozenset(r.term for r in best.collect())
+    best = counted.where(f"bad >= {least} and bad >= {MIN_PRECISION} * (bad + good)")
+    return frozenset(r.term for r in best.collect())  # no more than a bounded sample has
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -272,6 +284,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").select("text", "toxic")
 
 
+def unlabelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text) of at most rows documents, chosen by a hash of their texts."""
+    return docs.where("text is not null").select("text").orderBy(F.xxhash64("text", F.lit(7)), "text").limit(rows)  # a bounded sample: SAMPLE_ROWS
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Votes, LabelModel | None, Scorer]:
     sample = materialise(labelled_sample(docs, labels), "toxic-sample")
     votes = Votes(mine_lexicon(sample))
@@ -295,11 +312,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Votes, LabelModel | None, S
         terms, weights, bias = train(sorted(zip(table.column("text").to_pylist(), table.column("p").to_pylist(), strict=True)))
         return pa.table({"terms": pa.array([terms], pa.list_(pa.string())), "weights": pa.array([weights.tolist()], pa.list_(pa.float64())), "bias": pa.array([bias])})
 
-    got = sample.select("text").mapInArrow(released(label), "k int, text string, p double").groupBy("k").applyInArrow(released(learn), "terms array<string>, weights array<double>, bias double").collect()
-    if not got:  # no labelled rows: the built-in lexicons alone give the weights
-        words = sorted(BUILT_IN)
-        return votes, model, Scorer(words, [12.0] * len(words), -6.0)
-    return votes, model, Scorer(got[0].terms, got[0].weights, got[0].bias)
+    texts = sample.select("text") if sample.count() else materialise(unlabelled_sample(docs), "toxic-texts")
+    got = texts.mapInArrow(released(label), "k int, text string, p double").groupBy("k").applyInArrow(released(learn), "terms array<string>, weights array<double>, bias double").first()
+    return votes, model, Scorer(got.terms, got.weights, got.bias)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
