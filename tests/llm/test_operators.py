@@ -96,14 +96,25 @@ def test_exact_copies_match_brute_force(spark):
     assert sum(r.text is None for r in kept) == 2
 
 
-@given(st.lists(st.lists(st.integers(0, 2**64 - 1), max_size=60), min_size=1, max_size=5))
-@settings(max_examples=40, deadline=None)
-def test_quotient_filters_are_lossless(parts):
+@given(st.lists(st.lists(st.one_of(st.integers(0, 2**64 - 1), st.integers(2**63, 2**63 + 9)), max_size=60), min_size=1, max_size=5), st.sampled_from([8, 16, 24]))
+@settings(max_examples=60, deadline=None)
+def test_quotient_filters_are_lossless(parts, qbits):
     full = [np.array(p + p[: len(p) // 2], np.uint64) for p in parts if p]
     if not full:
         return
-    keys, counts = exact_dedup.merge([exact_dedup.QuotientFilter.of(np.sort(p)).dump() for p in full])
-    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == dict(Counter(np.concatenate(full).tolist()))
+    filters = [exact_dedup.QuotientFilter.of(np.sort(p), qbits) for p in full]
+    whole = exact_dedup.merge([exact_dedup.QuotientFilter.load(f.dump()) for f in filters])
+    assert dict(zip(whole.fingerprints().tolist(), whole.counts.tolist(), strict=True)) == dict(Counter(np.concatenate(full).tolist()))
+    assert (np.diff(whole.quotients().astype(float)) >= 0).all()
+
+
+def test_a_text_that_most_rows_have(spark):
+    hot = spark.range(100_000).selectExpr("id as doc_id", "'the same text' as text")
+    rest = spark.range(100_000, 100_010).selectExpr("id as doc_id", "concat('own ', id) as text")
+    docs = hot.unionByName(rest).repartition(8)
+    got = exact_dedup.exact_copies(docs).groupBy("keep_id", "n_copies").count().collect()
+    assert [tuple(r) for r in got] == [(0, 100_000, 100_000)]
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(docs).collect()) == [0, *range(100_000, 100_010)]
 
 
 # -- 3 n-gram join
@@ -322,6 +333,18 @@ def test_toxicity_without_labels_uses_the_lexicons(spark):
     assert got == set(range(0, 60, 6))
 
 
+def test_toxicity_without_labels_trains_on_posteriors(spark):
+    rng = random.Random(31)
+    plain = [" ".join(f"w{rng.randrange(80)}" for _ in range(30)) for _ in range(300)]
+    rows = [(i, t, "a") for i, t in enumerate(plain)]
+    rows += [(1000 + i, f"{t} put the garbage out on tuesday", "a") for i, t in enumerate(plain[:60])]
+    rows += [(2000 + i, f"{t} you are an idiot and a stupid moron", "a") for i, t in enumerate(plain[60:100])]
+    rows += [(3000, "you are an idi0t and a m0r0n", "a"), (3001, plain[5] + " idiot", "a")]
+    got = {r.doc_id: r.p_toxic for r in toxicity.score_toxicity(table(spark, rows), labels(spark)).collect()}
+    assert all(got[2000 + i] > 0.9 for i in range(40)) and got[3000] > 0.5
+    assert all(got[i] < 0.1 for i in range(300))
+
+
 def test_shouting_counts_all_capitals():
     votes = toxicity.Votes(frozenset())
     texts = {"Hello there": 0, "aBCDEFGh": 1, "ABCDEFGhijklmnO": 1, "ÉÀÈÙÂÊé": 1, "Élan vital": 0}
