@@ -4,11 +4,11 @@ Parity sketches. A set is cut into chunks by a hash of its grams; each chunk is
 patterns of its grams, so a gram in one set but not the other changes one chunk, and the number
 of differing chunks bounds the symmetric difference from below. Per size band the differences
 that the threshold allows are spread over the chunks, so that by the pigeonhole principle some
-chunk stays equal; sets meet when a chunk is equal. Pairs whose smaller set has fewer than 128
+chunk stays equal; sets meet when a chunk is equal. Pairs whose smaller set has fewer than 64
 grams have grams for chunks, half of them and one more, of which two sets at the threshold share
 one without fail. Of longer sets KEYS chunks are tried, where about as many exist as grams may
-differ; that fails with a chance of at most 1 in 10,000 at the very threshold, for the least
-favourable sizes, and less above it. A dense one-bit parity sketch then rejects pairs whose
+differ (of several splits into chunks, where one has too few); that fails with a chance of at
+most 1 in 1,500 at the very threshold, for the least favourable sizes, and less above it. A dense one-bit parity sketch then rejects pairs whose
 Hamming distance exceeds the allowed difference, and the rest are verified exactly.
 
 Result: one row per document with its class (the least doc_id of its connected component) and the
@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from driftglass.llm._common import broadcast_if_small, column, components, key_groups, materialise, mix, released, runs, shingle_hashes, slices, token_hashes, U64
+from driftglass.llm._common import broadcast_if_small, column, components, key_groups, materialise, mix, released, runs, shingle_hashes, slices, token_hashes, U64, whole_partition
 
-GRAM, THRESHOLD, KEYS = 3, 0.5, 128
+GRAM, THRESHOLD, KEYS = 3, 0.5, 96
 #: Where the smaller set is in a band up to this one, the keys are grams.
-SHORT = 6
+SHORT = 5
 #: Grams that the sets of one block may have, and the most sets; larger groups are verified block by block.
 BLOCK_GRAMS, BLOCK_SETS = 1 << 19, 1024
 #: A key with so many sets in one partition may be hot everywhere.
@@ -70,9 +70,12 @@ def chunk_keys(grams: np.ndarray, band: int) -> np.ndarray:
     if band <= SHORT:  # of two sets that reach one half, these least grams have one in common
         return np.sort(mix(mix(grams ^ U64(0x5BD1E995)) + U64(band)) | U64(1))[: len(grams) // 2 + 1]
     # about as many chunks as grams may differ: more would be too small, in fewer none stays equal
-    at = (mix(grams ^ U64(0x5BD1E995)) >> U64(16)) & U64((1 << band) - 1)
+    at, pattern = [], mix(grams)
+    for split in range(-(-KEYS >> band)):
+        at.append(((mix(grams ^ U64(0x5BD1E995 + split)) >> U64(16)) & U64((1 << band) - 1)) + U64(split << band))
+    at = np.concatenate(at)
     near = at < KEYS
-    at, pattern = at[near].astype(np.int64), mix(grams[near])
+    pattern, at = np.tile(pattern, len(at) // len(grams))[near], at[near].astype(np.int64)
     out = np.zeros(KEYS, U64)
     np.bitwise_xor.at(out, at, pattern)
     filled = np.bincount(at, minlength=KEYS) >= 2
@@ -93,17 +96,24 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each text; its keys where a partition has the set for the first time."""
+    seen: set[int] = set()
     for b in slices(batches):
         kept, sids, keys, place = [], [], [], []
         for k, text in enumerate(b.column(2).to_pylist()):
             g = gram_set(text)
             if not len(g):
                 continue
+            kept.append(k)
+            sids.append(set_id(g))
+            if sids[-1] in seen:
+                keys.append(None)
+                place.append(None)
+                continue
+            seen.add(sids[-1])
             band = band_of(len(g))
             own = chunk_keys(g, band)
             low = chunk_keys(g, band - 1) if band else np.empty(0, U64)
-            kept.append(k)
-            sids.append(set_id(g))
             keys.append(np.concatenate((own[own > 0], low[low > 0])).view(np.int64))
             place.append(np.concatenate((np.flatnonzero(own) * (band > SHORT) + band * _BAND, np.flatnonzero(low) * (band - 1 > SHORT) + (band - 1) * _BAND + _LOW)).astype(np.int16))
         rows = b.take(pa.array(kept, pa.int64()))
@@ -130,35 +140,39 @@ def _locally_hot(least: int):
 
 def _meet(most: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of two or more sets that share a chunk, in blocks, one row each, from rows sorted by key, cell, side and set."""
+        """Groups of two or more sets that share a chunk, in blocks, one row each, from rows partitioned by key and cell."""
+        table = whole_partition(batches)
+        if table is None:
+            return
+        key, cell, side, sid, place = (column(table, c) for c in ("key", "cell", "side", "sid", "place"))
+        order = np.lexsort((sid, side, cell, key))
+        same = np.concatenate(([False], np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (key, cell, sid)])))
+        order = order[~same]  # partitions that have the same set
+        key, cell, side, sid, place = (x[order] for x in (key, cell, side, sid, place))
         names = ("members", "first", "left", "right")
         out: dict[str, list] = {k: [] for k in names}
-        for table in key_groups(batches, "key", "cell"):
-            key, cell, side, sid, place = (column(table, c) for c in ("key", "cell", "side", "sid", "place"))
-            starts, sizes = runs(mix(key.view(U64)) + cell.view(U64))
-            wide = sizes > 1
-            starts, sizes = starts[wide], sizes[wide]
-            own = np.concatenate(([0], np.cumsum(place % _BAND < _LOW)))
-            has_own = own[starts + sizes] > own[starts]
-            for s, n in zip(starts[has_own].tolist(), sizes[has_own].tolist(), strict=True):
-                ids, band = sid[s : s + n], int(place[s]) // _BAND
-                if ids[0] == ids[-1] and side[s] == side[s + n - 1]:
-                    continue
-                first = int(key[s].view(np.uint64) >> U64(1)) if band <= SHORT else int(place[s]) % _LOW
-                low = place[s : s + n] % _BAND >= _LOW
-                if side[s : s + n].max() > 0:
-                    parts = [(np.flatnonzero(side[s : s + n] == 1), np.flatnonzero(side[s : s + n] == 2))]
-                else:
-                    step = block_sets(band, most)
-                    cuts = [np.arange(i, min(i + step, n)) for i in range(0, n, step)]
-                    parts = [(a, b if j else cuts[0][:0]) for i, a in enumerate(cuts) for j, b in enumerate(cuts[i:])]
-                for a, b in parts:
-                    if len(a) and (len(b) or len(a) > 1):
-                        # groups of the same sets in the same roles do the same work
-                        out["members"].append(xxh3_64_intdigest(b"%d:%d:" % (band, len(a)) + ids[a].tobytes() + ids[b].tobytes() + low[a].tobytes() + low[b].tobytes()))
-                        out["first"].append(band << 58 | first >> 6 if band <= SHORT else band << 58 | first)
-                        out["left"].append(ids[a])
-                        out["right"].append(ids[b])
+        starts, sizes = runs(mix(key.view(U64)) + cell.view(U64))
+        wide = sizes > 1
+        starts, sizes = starts[wide], sizes[wide]
+        own = np.concatenate(([0], np.cumsum(place % _BAND < _LOW)))
+        has_own = own[starts + sizes] > own[starts]
+        for s, n in zip(starts[has_own].tolist(), sizes[has_own].tolist(), strict=True):
+            ids, band = sid[s : s + n], int(place[s]) // _BAND
+            first = int(key[s].view(np.uint64) >> U64(1)) if band <= SHORT else int(place[s]) % _LOW
+            low = place[s : s + n] % _BAND >= _LOW
+            if side[s + n - 1]:
+                parts = [(np.flatnonzero(side[s : s + n] == 1), np.flatnonzero(side[s : s + n] == 2))]
+            else:
+                step = block_sets(band, most)
+                cuts = [np.arange(i, min(i + step, n)) for i in range(0, n, step)]
+                parts = [(a, b if j else cuts[0][:0]) for i, a in enumerate(cuts) for j, b in enumerate(cuts[i:])]
+            for a, b in parts:
+                if len(a) and (len(b) or len(a) > 1):
+                    # groups of the same sets in the same roles do the same work
+                    out["members"].append(xxh3_64_intdigest(b"%d:%d:" % (band, len(a)) + ids[a].tobytes() + ids[b].tobytes() + low[a].tobytes() + low[b].tobytes()))
+                    out["first"].append(band << 58 | first >> 6 if band <= SHORT else band << 58 | first)
+                    out["left"].append(ids[a])
+                    out["right"].append(ids[b])
             if len(out["left"]) >= 5000:
                 yield _groups(out)
                 out = {k: [] for k in names}
@@ -179,16 +193,13 @@ class _Block:
         self.length = np.array([len(g) for g in sets])
         self.sketch = np.stack([parity_sketch(g) for g in sets])
         self.low = np.array([band_of(len(g)) > band for g in sets])
-        self._keys = None
 
-    @property
-    def keys(self) -> np.ndarray:
-        if self._keys is None:
-            rows = [chunk_keys(g, self.band) for g in self.sets]
-            self._keys = np.zeros((len(rows), max(map(len, rows))), U64)
-            for r, k in zip(self._keys, rows, strict=True):
-                r[: len(k)] = k
-        return self._keys
+    def keys_before(self, first: int) -> list[np.ndarray]:
+        """Each set's keys by which it has met others before this group, sorted."""
+        keys = (chunk_keys(g, self.band) for g in self.sets)
+        if self.band <= SHORT:
+            return [k[k >> U64(7) < U64(first)] for k in keys]
+        return [np.sort(k[:first][k[:first] > 0]) for k in keys]
 
 
 def common_grams(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -225,15 +236,8 @@ def linked(left: _Block, right: _Block | None, first: int) -> tuple[np.ndarray,
         differ[s : s + 65536] = np.bitwise_count(left.sketch[i[s : s + 65536]] ^ right.sketch[j[s : s + 65536]]).sum(1)
     near = differ <= (1 - THRESHOLD) / (1 + THRESHOLD) * (left.length[i] + right.length[j]) + 1e-9
     i, j = i[near], j[near]
-    new = np.ones(len(i), bool)
-    for s in range(0, len(i), 8192):
-        x, y = left.keys[i[s : s + 8192]], right.keys[j[s : s + 8192]]
-        if left.band <= SHORT:  # the least gram that both have for a key
-            same = (x[:, :, None] == y[:, None, :]).any(2) & (x > 0)
-            least = np.where(same, x, U64(2**64 - 1)).min(1)
-            new[s : s + 8192] = least >> U64(7) == U64(first)
-        else:
-            new[s : s + 8192] = ~((x[:, :first] == y[:, :first]) & (x[:, :first] > 0)).any(1)
+    before = [x.keys_before(first) for x in (left, right)]
+    new = common_grams(*before, i, j) == 0
     i, j = i[new], j[new]
     common = common_grams(left.sets, right.sets, i, j)
     true = common >= THRESHOLD * (left.length[i] + right.length[j] - common)
@@ -284,9 +288,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rows(described: DataFrame, most: int, least: int) -> DataFrame:
     """(key, cell, side, sid, place) of every set; cell is 0, or says which two blocks of a hot key meet, and side in which of them the set is."""
-    keyed = described.groupBy("sid").agg(F.first("keys").alias("keys"), F.first("place").alias("place"))
+    keyed = described.where("keys is not null").select("sid", "keys", "place")
     rows = keyed.select("sid", F.explode(F.arrays_zip("keys", "place")).alias("k")).select(F.col("k.keys").alias("key"), "sid", F.col("k.place").alias("place"))
-    hot = described.select("keys", "place").mapInArrow(released(_locally_hot(least)), "key bigint, band int, n bigint").groupBy("key").agg(F.min("band").alias("band"), F.sum("n").alias("n"))
+    hot = keyed.select("keys", "place").mapInArrow(released(_locally_hot(least)), "key bigint, band int, n bigint").groupBy("key").agg(F.min("band").alias("band"), F.sum("n").alias("n"))
     room = F.greatest(F.lit(2), F.least(F.lit(most), F.expr(f"shiftright({BLOCK_GRAMS}, band + 1)")))
     hot = materialise(hot.select("key", F.ceil(F.col("n") / room).cast("bigint").alias("blocks")).where("blocks > 1"), "ngram-hot")
     if not hot.count():
@@ -301,11 +305,12 @@ def _rows(described: DataFrame, most: int, least: int) -> DataFrame:
 def _classes(docs: DataFrame, most: int = BLOCK_SETS, least: int = LOCALLY_HOT) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, fp, sid), fp the fingerprint of a text, and sets (sid, class_id, n_links)."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    # keys of a set stay with one row of each partition that has it
     described = materialise(texts.mapInArrow(released(_describe), "doc_id bigint, fp bigint, sid bigint, keys array<bigint>, place array<smallint>"), "ngram-described")
     sets = described.groupBy("sid", "doc_id").agg(F.min("fp").alias("fp")).groupBy("sid").agg(F.min(F.struct("doc_id", "fp")).alias("rep"), F.count("*").alias("n"))
     sets = materialise(sets.select("sid", F.col("rep.doc_id").alias("rep"), F.col("rep.fp").alias("fp"), "n"), "ngram-sets")
     rows = _rows(described, most, least)
-    groups = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "side", "sid").mapInArrow(released(_meet(most)), "members bigint, first bigint, left array<bigint>, right array<bigint>")
+    groups = rows.repartition("key", "cell").mapInArrow(released(_meet(most)), "members bigint, first bigint, left array<bigint>, right array<bigint>")
     # groups of the same sets do the same work: one of them, with the first chunk, stands for all
     groups = groups.groupBy("members").agg(F.min_by(F.struct("first", "left", "right"), "first").alias("g"))
     sides = F.expr("concat(transform(g.left, x -> struct(x as sid, 0Y as side)), transform(g.right, x -> struct(x as sid, 1Y as side)))")
