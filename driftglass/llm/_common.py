@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,12 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 #: A side is broadcast only when its measured size stays below this.
 BROADCAST_BYTES = 16 << 20
-#: Words remembered per worker; the memo empties itself beyond that.
-MEMO_WORDS = 200_000
+#: Texts are hashed in pieces of about so many bytes.
+PIECE_BYTES = 1 << 20
 
 U64 = np.uint64
 _GOLD, _MIX1, _MIX2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -47,21 +47,49 @@ def broadcast_if_small(stored: DataFrame, row_bytes: int, limit: int = BROADCAST
     return F.broadcast(stored) if stored.count() * row_bytes <= limit else stored
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxh3_64_intdigest(word)
-        return value
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+_BLANK_BYTE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
-_words = _WordHashes()
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n or more powers of _BASE, and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.concatenate(([U64(1)], np.cumprod(np.full(2 * n, U64(b)))))
+    return _powers[0], _powers[1]
 
 
 def token_hashes(text: str) -> np.ndarray:
-    """uint64 hashes of the lower-cased words between ASCII white space."""
-    words = text.lower().encode("utf-8", "replace").split()
-    return np.fromiter(map(_words.__getitem__, words), U64, len(words))
+    """uint64 hashes of the lower-cased words between ASCII white space.
+
+    A word's hash is the sum of its bytes' random numbers times rising powers, so that the prefix
+    sums of a text give the hashes of all its words at once.
+    """
+    raw = text.lower().encode("utf-8", "replace")
+    if len(raw) <= PIECE_BYTES:
+        return _piece_hashes(raw)
+    out, start = [], 0
+    while start < len(raw):
+        end = _BLANK_BYTE.search(raw, start + PIECE_BYTES)
+        end = end.start() if end else len(raw)
+        out.append(_piece_hashes(raw[start:end]))
+        start = end
+    return np.concatenate(out)
+
+
+def _piece_hashes(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    blank = np.ones(len(b) + 2, bool)
+    blank[1:-1] = _BLANK[b]
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edge[::2], edge[1::2]
+    power, inverse = powers(len(b) + 1)
+    sums = np.zeros(len(b) + 1, U64)
+    np.cumsum(_BYTES[b] * power[: len(b)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * _GOLD)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,6 +101,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: A random number for each byte.
+_BYTES = mix(np.arange(1, 257, dtype=U64) * _GOLD)
+
+
 def shingle_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n tokens, in order; empty when there are fewer."""
     m = len(tokens) - n + 1
@@ -86,7 +118,6 @@ def shingle_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
 
 def tidy() -> None:
     """Give memory that a finished task no longer needs back to the machine; workers outlive tasks."""
-    _words.clear()
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
