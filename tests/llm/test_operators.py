@@ -221,7 +221,9 @@ def test_compact_windows_match_the_tree(values, t):
     assert sorted(zip(*(x.tolist() for x in substring_dedup.compact_windows(h, t)), strict=True)) == sorted(want)
 
 
-def test_repeated_passages_are_found_and_cut(spark):
+@pytest.mark.parametrize("hot", [64, 1, 4])
+def test_repeated_passages_are_found_and_cut(spark, hot):
+    """Also where signatures are hot, and firsts of cells meet."""
     rng = random.Random(7)
     passage, loose = words(rng, 60), words(rng, 90)
     rows, holders = [], []
@@ -234,7 +236,7 @@ def test_repeated_passages_are_found_and_cut(spark):
             rows.append((i, f"{a}\n{near(rng, loose, 3)} {b}", "a"))
         else:
             rows.append((i, f"{a} {' '.join(passage.split()[:30])} {b}", "a"))
-    found = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    found = substring_dedup.repeated_passages(table(spark, rows), hot).collect()
     texts = {i: t.split() for i, t, _ in rows}
     assert {r.doc_id for r in found if r.doc_id % 3 == 0} == set(holders[1:])
     assert {r.doc_id for r in found if r.doc_id % 3 == 1} == set(range(4, 30, 3))
@@ -278,6 +280,24 @@ def test_near_passages_at_the_threshold_match_brute_force(spark):
     assert len(want) == 300 and got <= want and len(got) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("edits,hot,least", [(2, 64, 1.0), (2, 8, 1.0), (3, 64, 0.8)])
+def test_near_passages_in_large_meetings_are_found(spark, edits, hot, least):
+    """Groups of 40 near passages; with three edits each, only some documents have a partner, barely at the threshold."""
+    rng = random.Random(24)
+    rows = []
+    for g in range(6):
+        passage = words(rng, 60, 10**6).split()
+        for j in range(40):
+            edited = list(passage)
+            for k in (rng.randrange(5, 20), rng.randrange(40, 55), rng.randrange(20, 40))[:edits]:
+                edited[k] = f"e{rng.randrange(10**6)}"
+            rows.append((100 * g + j, f"{words(rng, 40, 10**6)} {' '.join(edited)} {words(rng, 40, 10**6)}", "a"))
+    s = {i: substring_dedup.shingle_hashes(substring_dedup.token_hashes(t), substring_dedup.SHINGLE) for i, t, _ in rows}
+    want = {i for i in s if any(substring_dedup.passages(s[i], s[j]) for j in range(i // 100 * 100, i))}
+    got = {r.doc_id for r in substring_dedup.repeated_passages(table(spark, rows), hot).collect()}
+    assert got <= want and len(got) >= least * len(want)
+
+
 def test_passages_inside_weak_chains_are_found():
     rng = random.Random(23)
     shingles = lambda w: substring_dedup.shingle_hashes(substring_dedup.token_hashes(" ".join(w)), 5)
