@@ -86,7 +86,9 @@ def dense_scores(queries: DataFrame, chunks: DataFrame, depth: int | None = None
                 at = np.nonzero(score >= floor)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(r["q_ids"], object)[at[0]].tolist()), pa.array(ids[at[1]].tolist()), pa.array(score[at])], ["query_id", "chunk_id", "score"])
 
-    met = c.crossJoin(q)
+    # blocks of queries are made once; few of them go to every block of chunks, else the product is Spark's
+    n, dims = queries.count(), queries.where("vector is not null").select(F.size("vector").alias("n")).first()
+    met = c.crossJoin(F.broadcast(q) if n * 8 * (dims.n if dims else 0) <= BROADCAST_BYTES else q.repartition(max(1, n // BLOCK_ROWS)))
     return met.mapInArrow(multiply, f"query_id {q_kind}, chunk_id {c_kind}, score double")
 
 
@@ -143,14 +145,20 @@ class Bm25:
         return F.when(df > 0, F.log((n - df + 0.5) / (df + 0.5) + 1)).otherwise(F.lit(0.0))
 
     def scores(self, queries: DataFrame) -> DataFrame:
-        """(query_id, chunk_id, chunk_seq, score) of chunks sharing a term; repeated query words count again."""
+        """(query_id, chunk_id, chunk_seq, score) of chunks sharing a term; repeated query words count again.
+
+        Postings of the queries' words are shuffled once, by chunk; document frequencies are counted
+        before they are shuffled, so a frequent word is no hot key, and scores add up where they are.
+        """
         words = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        tf = self.frequencies(small_side(words.select("term").distinct(), 64))
-        # one aggregate and one window: each posting learns its term's document frequency in place
-        tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("term")))
-        scored = tf.join(words, "term").crossJoin(F.broadcast(self.corpus()))  # one row
+        hint = F.broadcast if words.count() * 64 <= BROADCAST_BYTES else lambda df: df
+        rows = self.tokens.select("chunk_id", "chunk_seq", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(hint(words.select("term").distinct()), "term", "left_semi")
+        tf = rows.repartition("chunk_id").groupBy("chunk_id", "chunk_seq", "dl", "term").agg(F.count("*").alias("tf"))
+        weights = words.join(self.document_frequency(tf), "term").crossJoin(F.broadcast(self.corpus()))  # one row
+        weights = weights.select("query_id", "term", "qtf", "avgdl", self.idf(F.col("n"), F.col("df")).alias("idf"))
+        scored = tf.join(hint(weights), "term")
         f = F.col("tf")
-        part = self.idf(F.col("n"), F.col("df")) * f * (self.k1 + 1) / (f + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
+        part = F.col("idf") * f * (self.k1 + 1) / (f + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
         # whole units of 1e-12 add up exactly, so no order of partial sums can change a score or a tie
         exact = F.sum(F.round(F.col("qtf") * part * 1e12).cast("bigint"))
         grouped = scored.groupBy("query_id", "chunk_id", "chunk_seq").agg((exact / F.lit(1e12)).alias("score"))
