@@ -48,7 +48,7 @@ _WORD = re.compile("[0-9a-z]+")
 class HashEmbedder:
     """Signed feature hashing of word n-grams into a unit vector."""
 
-    provider = "local"
+    provider, usd_per_1k = "local", 0.0
 
     def __init__(self, dims: int = 256, seed: int = 0, ngram=(1, 2), model: str = "hash-v1"):
         self.model, self.dims, self.seed = model, int(dims), int(seed)

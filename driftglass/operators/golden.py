@@ -140,4 +140,10 @@ def bump(name: str) -> str:
     return f"{stem}-v{int(version) + 1}" if stem and version.isdigit() else f"{name}-v2"
 
 
+def bump_col(name: Column) -> Column:
+    """bump over a column."""
+    stem, version = (F.regexp_extract(name, r"^(.+)-v([0-9]+)$", k) for k in (1, 2))
+    return F.when(version == "", F.concat(name, F.lit("-v2"))).otherwise(F.concat(stem, F.lit("-v"), (version.cast("bigint") + 1).cast("string")))
+
+
 SPACES = SPACE

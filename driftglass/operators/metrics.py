@@ -17,12 +17,18 @@ def metric_k(metric: str) -> int:
     return int(suffix) if suffix.isdigit() else 10
 
 
+def chunk_paths(sources: DataFrame) -> DataFrame:
+    """(chunk_id, paths): the distinct source paths of each chunk, sorted."""
+    return sources.groupBy("chunk_id").agg(F.sort_array(F.collect_set("source")).alias("paths"))
+
+
 def document_ranks(final: DataFrame, sources: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """(query_id, source, doc_rank): documents by first appearance.
 
     sources maps chunk_id to source paths; of several paths an expected one is preferred, else the first.
     """
-    paths = sources.groupBy("chunk_id").agg(F.sort_array(F.collect_set("source")).alias("paths"))
+    # only the chunks that some list has: candidates are few beside the corpus
+    paths = chunk_paths(sources.join(final.select("chunk_id").distinct(), "chunk_id", "left_semi"))
     rows = final.select("query_id", "chunk_id", "rank").join(paths, "chunk_id")
     if expected is None:
         rows = rows.withColumn("source", F.col("paths")[0])

@@ -26,10 +26,14 @@ class Scores:
         return all((x >= bound) if floor else (x <= bound) for x, bound, floor in ((getattr(self, n), b, f) for n, b, f in BOUNDS))
 
 
-def noise_rate(reruns: DataFrame, n_cases: int) -> float:
-    """The worst rerun's share of stable regressions; reruns (run, query_id, class, stability) of an unchanged snapshot."""
+def noise(reruns: DataFrame, n_cases: int) -> DataFrame:
+    """One row (noise): the worst rerun's share of stable regressions; reruns (run, class, stability, …) of an unchanged snapshot."""
     rows = reruns.groupBy("run").agg(F.count_if((F.col("class") == "regressed") & (F.col("stability") == "stable")).alias("n"))
-    return (rows.agg(F.max("n")).first()[0] or 0) / max(n_cases, 1)
+    return rows.agg((F.coalesce(F.max("n"), F.lit(0)) / F.lit(max(n_cases, 1))).alias("noise"))
+
+
+def noise_rate(reruns: DataFrame, n_cases: int) -> float:
+    return float(noise(reruns, n_cases).first().noise)
 
 
 def score_scenario(project, diff: workflows.Diff, cases: DataFrame, cause: str, metric: str = "recall@5", top_k: int = 5) -> Scores:

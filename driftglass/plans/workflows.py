@@ -290,14 +290,24 @@ def distractors(d: Diff, traced: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(F.min_by("chunk_id", "rank").alias("distractor"))
 
 
-def embedding_cost(project: Project, scanned: DataFrame, p: Pipeline, usd_per_1k: float = 0.0) -> dict:
-    """Tokens, dollars and seconds that an ingest would spend, without writing anything."""
+def unembedded(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """(key, text) of wanted, each key once, that stored (key) lacks."""
+    return wanted.groupBy("key").agg(F.first("text").alias("text")).join(stored.select("key"), "key", "left_anti")
+
+
+def cost_of(texts: DataFrame, usd_per_1k: float = 0.0, local: bool = True) -> DataFrame:
+    """One row (texts, tokens, usd, seconds): what embedding texts would cost, at four characters a token."""
+    tokens = F.coalesce(F.sum(F.expr("length(text) div 4")), F.lit(0))
+    return texts.agg(F.count("*").alias("texts"), tokens.alias("tokens"), (tokens / 1000 * usd_per_1k).alias("usd"), (tokens / (200_000 if local else 5_000)).alias("seconds"))
+
+
+def embedding_cost(project: Project, scanned: DataFrame, p: Pipeline, usd_per_1k: float | None = None) -> dict:
+    """Tokens, dollars and seconds that an ingest would spend, without writing anything; the price is the provider's unless given."""
     parse, chunk, e = p.stage("parse"), p.stage("chunk"), provider_of(p.stage("embed"))
     docs = scanned.select("doc_id", text.parse(F.col("raw"), parse.tool).alias("text")).dropDuplicates(["doc_id"])
-    chunks = keyed(text.chunk(docs, chunk.tool, chunk.params), e).groupBy("key").agg(F.first("text").alias("text"))
-    missing = chunks.join(project.read("embeddings").where(F.col("model_key") == model_key(e)).select("key"), "key", "left_anti")
-    texts, tokens = missing.agg(F.count("*"), F.coalesce(F.sum(F.expr("length(text) div 4")), F.lit(0))).first()
-    return {"texts": texts, "tokens": tokens, "usd": tokens / 1000 * usd_per_1k, "seconds": tokens / (200_000 if e.provider == "local" else 5_000)}
+    chunks = keyed(text.chunk(docs, chunk.tool, chunk.params), e)
+    stored = project.read("embeddings").where(F.col("model_key") == model_key(e)).select("key")
+    return cost_of(unembedded(chunks, stored), e.usd_per_1k if usd_per_1k is None else usd_per_1k, e.provider == "local").first().asDict()
 
 
 def allow_cost(usd: float, max_cost: float | None, yes: bool) -> None:

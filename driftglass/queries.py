@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftglass import ids
 from driftglass.functions import stats, text, vectors
 from driftglass.operators import align, attribution, gating, golden, metrics, retrieve
+from driftglass.plans import scorecard, workflows
 from driftglass.sources import tables as store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,7 +133,7 @@ def _(t):
 
 @query("p11_distinct_documents", f"WITH {PATHED} SELECT doc_key, min(path) AS path, count(*) AS n_paths FROM paths GROUP BY doc_key")
 def _(t):
-    return pathed(t).groupBy("doc_key").agg(F.min("path").alias("path"), F.count("*").alias("n_paths"))
+    return store.distinct_documents(pathed(t), "doc_key", "path")
 
 
 @query("p12_l2_normalise", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS total FROM embeddings")
@@ -142,8 +143,7 @@ def _(t):
 
 @query("p17_cost_estimate", "SELECT sum(length(text) // 4)::BIGINT AS tokens, round(sum(length(text) // 4) / 1000 * 0.02, 6) AS usd, round(sum(length(text) // 4) / 5000, 6) AS seconds FROM (SELECT DISTINCT text FROM documents)")
 def _(t):
-    tokens = F.sum(F.expr("length(text) div 4"))
-    return t.documents.select("text").distinct().agg(tokens.alias("tokens"), r(tokens / 1000 * 0.02).alias("usd"), r(tokens / 5000).alias("seconds"))
+    return workflows.cost_of(t.documents.select("text").distinct(), 0.02, local=False).select("tokens", r("usd").alias("usd"), r("seconds").alias("seconds"))
 
 
 @query("p19_top_directory", f"WITH {PATHED} SELECT doc_id, split_part(path, '/', 1) AS tag FROM paths")
@@ -205,10 +205,10 @@ def _(t):
     return store.newest(t.documents, ["source", "lang"], "doc_id").select("source", "lang", "doc_id", "n_chars")
 
 
-@query("k1_insert_or_ignore", f"WITH {PATHED} SELECT doc_key, path, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY doc_id) AS k FROM paths) WHERE k = 1")
+@query("k1_insert_or_ignore", f"WITH {PATHED} SELECT doc_key, path, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY doc_id) AS k FROM paths WHERE doc_key NOT IN (SELECT doc_key FROM paths WHERE doc_id % 3 = 0)) WHERE k = 1")
 def _(t):
     p = pathed(t).select("doc_key", "path", "doc_id")
-    return store.insert_or_ignore(p.limit(0), p, ["doc_key"], "doc_id")
+    return store.insert_or_ignore(p.where("doc_id % 3 = 0"), p, ["doc_key"], "doc_id")
 
 
 @query("k4_missing_keys", "SELECT DISTINCT label FROM embeddings WHERE label NOT IN (SELECT quality FROM labels WHERE quality IS NOT NULL)")
@@ -334,23 +334,64 @@ def _(t):
     return retrieve.Bm25(corpus(t)).corpus().select("n", r("avgdl").alias("avgdl"))
 
 
-# two rankings of the same queries stand for the dense and the sparse side
-SQL_SIDES = f"{sql_bm25('d', 0.4, 0.0)}, {sql_bm25('s', base=False)}"
-SQL_NORMAL = """
-dn AS (SELECT query_id, chunk_id, rank AS dr, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS dv FROM d WINDOW w AS (PARTITION BY query_id)),
-sn AS (SELECT query_id, chunk_id, rank AS sr, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS sv FROM s WINDOW w AS (PARTITION BY query_id)),
-b AS (SELECT coalesce(dn.query_id, sn.query_id) AS query_id, coalesce(dn.chunk_id, sn.chunk_id) AS chunk_id, dr, dv, sr, sv FROM dn FULL JOIN sn ON dn.query_id = sn.query_id AND dn.chunk_id = sn.chunk_id)"""
+# dense side: cosines of hash-embedded passages and documents; sparse side: BM25 of the same texts
+VECTOR_DIMS = 64
+SQL_DENSE = f"""
+ew AS (SELECT 'c' AS side, doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents UNION ALL SELECT 'q', item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM benchmark),
+ev AS (SELECT side, id, (v // 2) % {VECTOR_DIMS} AS place, sum(CASE WHEN v % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM (SELECT side, id, ('0x' || substr(sha256(w), 1, 8))::BIGINT AS v FROM ew) GROUP BY ALL),
+en AS (SELECT side, id, CASE WHEN sum(x * x) = 0 THEN 1 ELSE sqrt(sum(x * x)) END AS n FROM ev GROUP BY ALL),
+ed AS (SELECT q.id AS query_id, c.id AS chunk_id, sum(q.x * c.x) AS dot FROM ev q JOIN ev c USING (place) WHERE q.side = 'q' AND c.side = 'c' GROUP BY ALL),
+es AS (SELECT q.id AS query_id, c.id AS chunk_id, round(coalesce(dot, 0) / (q.n * c.n), 6) + 0.0 AS score FROM en q JOIN en c ON q.side = 'q' AND c.side = 'c' LEFT JOIN ed ON ed.query_id = q.id AND ed.chunk_id = c.id),
+d AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM es) WHERE rank <= 20)"""
+SQL_SIDES = f"{SQL_DENSE}, {sql_bm25('s')}"
 
 
-def sql_fused(score: str, name: str = "f") -> str:
-    return f"{name} AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dr NULLS LAST, sr NULLS LAST, chunk_id) AS rank FROM (SELECT *, round({score}, 6) AS score FROM b))"
+def sql_joined(dense: str, sparse: str, name: str) -> str:
+    """Both lists in one table with their ranks and min-max scores."""
+    normal = lambda x, side: f"{name}{x} AS (SELECT query_id, chunk_id, rank AS {x}r, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS {x}v FROM {side} WINDOW w AS (PARTITION BY query_id))"
+    return f"""
+{normal('d', dense)},
+{normal('s', sparse)},
+{name} AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.chunk_id, y.chunk_id) AS chunk_id, dr, dv, sr, sv FROM {name}d x FULL JOIN {name}s y ON x.query_id = y.query_id AND x.chunk_id = y.chunk_id)"""
+
+
+SQL_NORMAL = sql_joined("d", "s", "b")
+
+
+def sql_fused(score: str, name: str = "f", joined: str = "b") -> str:
+    return f"{name} AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dr NULLS LAST, sr NULLS LAST, chunk_id) AS rank FROM (SELECT *, round({score}, 6) AS score FROM {joined}))"
+
+
+def sql_reranked(fused: str, name: str, window: int) -> str:
+    return f"""{name} AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM (
+  SELECT query_id, chunk_id, rank AS before, round(len(list_intersect(list_distinct({SQL_TERMS.format('q.text')}), list_distinct({SQL_TERMS.format('d2.text')}))) / greatest(len(list_distinct({SQL_TERMS.format('q.text')})), 1), 6) AS score
+  FROM {fused} JOIN benchmark q ON q.item_id = query_id JOIN documents d2 ON d2.doc_id = chunk_id WHERE rank <= {window}))"""
 
 
 WEIGHTED = "0.55 * coalesce(dv, 0) + 0.45 * coalesce(sv, 0)"
 
 
+def embedded(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(query_id, vector) and (chunk_id, vector) of the passages and the documents."""
+    q = vectors.sha_embedding(questions(t), "query_id", VECTOR_DIMS)
+    return q, vectors.sha_embedding(corpus(t), "chunk_id", VECTOR_DIMS)
+
+
+def dense(t: Tables) -> DataFrame:
+    return t.keep("dense", lambda: retrieve.dense_topk(*embedded(t), 20, DIGITS))
+
+
 def sides(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return bm25(t, 0.4, 0.0), bm25(t)
+    return dense(t), bm25(t)
+
+
+@query("h5_run_query", f"""
+WITH {SQL_SIDES}, {SQL_NORMAL}, {sql_fused(WEIGHTED)}, {sql_reranked('f', 'o', 5)}
+{' UNION ALL '.join(f"SELECT query_id, '{stage}' AS stage, rank, chunk_id, score FROM {x}" for stage, x in (('dense', 'd'), ('sparse', 's'), ('fused', 'f'), ('reranked', 'o'), ('final', 'o')))}""")
+def _(t):
+    q, c = embedded(t)
+    lists = retrieve.run_queries(questions(t), q, corpus(t), c, 5, {"bm25_weight": 0.45}, {"top_n": 5}, DIGITS)
+    return lists.select("query_id", "stage", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")
 
 
 @query("h6_weighted_fusion", f"WITH {SQL_SIDES}, {SQL_NORMAL}, {sql_fused(WEIGHTED)} SELECT * FROM f")
@@ -363,11 +404,7 @@ def _(t):
     return retrieve.fuse_reciprocal(*sides(t), 60, DIGITS).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("w5_overlap_rerank", f"""
-WITH {SQL_SIDES}, {SQL_NORMAL}, {sql_fused(WEIGHTED)},
-o AS (SELECT query_id, chunk_id, rank AS before, round(len(list_intersect(list_distinct({SQL_TERMS.format('q.text')}), list_distinct({SQL_TERMS.format('d2.text')}))) / greatest(len(list_distinct({SQL_TERMS.format('q.text')})), 1), 6) AS score
-  FROM f JOIN benchmark q ON q.item_id = f.query_id JOIN documents d2 ON d2.doc_id = f.chunk_id WHERE rank <= 10)
-SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM o""")
+@query("w5_overlap_rerank", f"WITH {SQL_SIDES}, {SQL_NORMAL}, {sql_fused(WEIGHTED)}, {sql_reranked('f', 'o', 10)} SELECT query_id, chunk_id, score, rank FROM o")
 def _(t):
     fused = retrieve.fuse_weighted(*sides(t), 0.45, DIGITS)
     return retrieve.rerank_overlap(fused, questions(t), corpus(t), 10, digits=DIGITS).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
@@ -540,7 +577,8 @@ def _(t):
 
 @query("j4_chunk_paths", f"WITH {PATHED} SELECT doc_key, array_to_string(list(DISTINCT path ORDER BY path), ',') AS paths FROM paths GROUP BY doc_key")
 def _(t):
-    return pathed(t).groupBy("doc_key").agg(F.array_join(F.sort_array(F.collect_set("path")), ",").alias("paths"))
+    paths = metrics.chunk_paths(pathed(t).select(F.col("doc_key").alias("chunk_id"), F.col("path").alias("source")))
+    return paths.select(F.col("chunk_id").alias("doc_key"), F.array_join("paths", ",").alias("paths"))
 
 
 # -- statistics ---------------------------------------------------------------------------------
@@ -626,30 +664,51 @@ def _(t):
     return attribution.tracers(sides(t)[0], sources(t), expected(t))
 
 
-@query("h13_funnel", f"""
-WITH {SQL_SIDES}, {SQL_EXPECTED}, {SQL_NORMAL}, {sql_fused(WEIGHTED)},
+#: Before: fused by weight .45 and reranked; after: another BM25, weight .9. A chunk's number says what became of it.
+SQL_FUNNEL = f"""{SQL_SIDES}, {SQL_EXPECTED}, {SQL_NORMAL}, {sql_fused(WEIGHTED)}, {sql_reranked('f', 'o', 10)},
+{sql_bm25('s2', 0.4, 0.0, base=False)}, {sql_joined('d', 's2', 'b2')}, {sql_fused('0.1 * coalesce(dv, 0) + 0.9 * coalesce(sv, 0)', 'f2', 'b2')}, {sql_reranked('f2', 'o2', 10)},
 tr AS (SELECT d.query_id, arg_min(d.chunk_id, rank) AS tracer FROM d JOIN ex ON ex.query_id = d.query_id AND ex.doc_id = d.chunk_id GROUP BY 1),
-x AS (SELECT tr.query_id, tracer, d.rank AS dense_before, s.rank AS dense_after, d.rank AS fused_before, f.rank AS fused_after FROM tr LEFT JOIN d ON d.query_id = tr.query_id AND d.chunk_id = tracer LEFT JOIN s ON s.query_id = tr.query_id AND s.chunk_id = tracer LEFT JOIN f ON f.query_id = tr.query_id AND f.chunk_id = tracer)
-SELECT query_id, tracer, dense_before, dense_after, fused_before, fused_after,
-  CASE WHEN dense_before <= 5 AND NOT coalesce(dense_after <= 5, false) THEN 'dense' WHEN fused_before <= 5 AND NOT coalesce(fused_after <= 5, false) THEN 'fused'
-    WHEN fused_before <= 5 AND NOT coalesce(fused_after <= 5, false) THEN 'rerank'
-    WHEN coalesce(dense_after, 1000000000) - dense_before >= greatest(0, coalesce(fused_after, 1000000000) - fused_before) THEN 'dense'
-    WHEN 0 >= coalesce(fused_after, 1000000000) - fused_before THEN 'sparse' ELSE 'fused' END AS stage FROM x""")
+fo AS (SELECT query_id, tracer, unnest(CASE WHEN tracer % 4 = 1 THEN [tracer, tracer + 4] ELSE [tracer] END) AS chunk_id FROM tr),
+x AS (SELECT tr.query_id, tracer, CASE tracer % 4 WHEN 1 THEN 'split' WHEN 3 THEN 'dropped' ELSE 'intact' END AS fate, tracer % 5 <> 0 AS in_index,
+  {', '.join(f"(SELECT min(rank) FROM {y} y WHERE y.query_id = tr.query_id AND y.chunk_id = tracer) AS {n}_before, (SELECT min(rank) FROM {z} z JOIN fo ON z.query_id = fo.query_id AND z.chunk_id = fo.chunk_id WHERE fo.query_id = tr.query_id) AS {n}_after" for n, y, z in (('dense', 'd', 'd'), ('sparse', 's', 's2'), ('fused', 'f', 'f2'), ('reranked', 'o', 'o2')))} FROM tr),
+wd AS (SELECT *, {', '.join(f"coalesce({n}_after, 1000000000) - coalesce({n}_before, 1000000000) AS {n}_worse, coalesce({n}_before <= 5, false) AND NOT coalesce({n}_after <= 5, false) AS {n}_lost" for n in ('dense', 'sparse', 'fused'))} FROM x),
+fn AS (SELECT query_id, tracer, fate, in_index, dense_before, dense_after, sparse_before, sparse_after, fused_before, fused_after, reranked_after,
+  CASE WHEN NOT in_index THEN 'index' WHEN dense_lost THEN 'dense' WHEN sparse_lost THEN 'sparse' WHEN fused_lost THEN 'fused' WHEN coalesce(fused_before <= 5 AND reranked_after > 5, false) THEN 'rerank'
+    WHEN dense_worse >= greatest(sparse_worse, fused_worse) THEN 'dense' WHEN sparse_worse >= fused_worse THEN 'sparse' ELSE 'fused' END AS stage FROM wd)"""
+
+
+def funnel(t: Tables) -> DataFrame:
+    q, c = embedded(t)
+    d, s = sides(t)
+    before = retrieve.fuse_weighted(d, s, 0.45, DIGITS)
+    again = bm25(t, 0.4, 0.0)
+    after = retrieve.fuse_weighted(d, again, 0.9, DIGITS)
+    reranked = lambda x: retrieve.rerank_overlap(x, questions(t), corpus(t), 10, digits=DIGITS)
+
+    def staged(*lists: DataFrame) -> DataFrame:
+        parts = [x.select("query_id", F.lit(n).alias("stage"), "rank", "chunk_id") for n, x in zip(("dense", "sparse", "fused", "reranked"), lists, strict=True)]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+    kind = F.col("chunk_id") % 4
+    fate = F.when(kind == 1, "split").when(kind == 3, "dropped").otherwise("intact")
+    to = F.when(kind == 1, F.array("chunk_id", F.col("chunk_id") + 4)).when(kind == 3, F.array().cast("array<bigint>")).otherwise(F.array("chunk_id"))
+    alignment = corpus(t).select("chunk_id", fate.alias("fate"), to.alias("descendants"))
+    rows = attribution.funnel(staged(d, s, before, reranked(before)), staged(d, again, after, reranked(after)), attribution.tracers(d, sources(t), expected(t)), alignment, corpus(t).where("chunk_id % 5 <> 0"), top_k=5)
+    return rows.withColumn("stage", attribution.failing_stage(5))
+
+
+@query("h13_funnel", f"WITH {SQL_FUNNEL} SELECT * FROM fn")
 def _(t):
-    a, b = sides(t)
-    fused = retrieve.fuse_weighted(a, b, 0.45, DIGITS)
-    staged = lambda *p: p[0][1].select("query_id", F.lit(p[0][0]).alias("stage"), "rank", "chunk_id").unionByName(p[1][1].select("query_id", F.lit(p[1][0]).alias("stage"), "rank", "chunk_id"))
-    before, after = staged(("dense", a), ("fused", a)), staged(("dense", b), ("fused", fused))
-    nothing = t.spark.createDataFrame([], "chunk_id bigint, fate string, descendants array<bigint>")
-    rows = attribution.funnel(before, after, attribution.tracers(a, sources(t), expected(t)), nothing, corpus(t), top_k=5)
-    rows = rows.withColumn("stage", attribution.failing_stage(5))
-    return rows.select("query_id", "tracer", *(F.col(c).cast("bigint").alias(c) for c in ("dense_before", "dense_after", "fused_before", "fused_after")), "stage")
+    ranks = ("dense_before", "dense_after", "sparse_before", "sparse_after", "fused_before", "fused_after", "reranked_after")
+    return funnel(t).select("query_id", "tracer", "fate", "in_index", *(F.col(c).cast("bigint").alias(c) for c in ranks), "stage")
+
+
+SQL_CAUSES = ", ".join(f"('{stage}', '{f}')" for stage, fs in attribution.STAGE_FACTORS.items() for f in fs)
 
 
-@query("h15_implicated_factors", "SELECT stage, factor FROM (VALUES ('dense', 'chunk'), ('dense', 'embed'), ('sparse', 'chunk'), ('fused', 'chunk'), ('fused', 'embed'), ('fused', 'retrieve')) v(stage, factor)")
+@query("h15_implicated_factors", f"WITH {SQL_FUNNEL} SELECT query_id, stage, factor FROM fn JOIN (VALUES {SQL_CAUSES}) c(stage, factor) USING (stage) WHERE factor IN ('chunk', 'embed', 'retrieve')")
 def _(t):
-    stages = t.spark.createDataFrame([("dense",), ("sparse",), ("fused",)], "stage string")
-    return attribution.implicated(stages, ["chunk", "embed", "retrieve"]).select("stage", "factor")
+    return attribution.implicated(funnel(t).select("query_id", "stage"), ["chunk", "embed", "retrieve"]).select("query_id", "stage", "factor")
 
 
 # -- golden sets --------------------------------------------------------------------------------
@@ -697,9 +756,11 @@ def _(t):
     return store.newest(t.documents.select("source", "doc_id", "lang"), ["source"], "doc_id").select("source", "doc_id", "lang")
 
 
-@query("j17_text_by_key", "SELECT label, arg_min(vec_id, vec_id) AS vec_id FROM embeddings GROUP BY label")
+@query("j17_text_by_key", f"WITH {PATHED}, t AS (SELECT doc_key, min(text) AS text FROM paths GROUP BY doc_key) SELECT DISTINCT doc_key, t.text FROM paths p JOIN t USING (doc_key) WHERE p.doc_id % 2 = 0")
 def _(t):
-    return t.embeddings.groupBy("label").agg(F.min_by("vec_id", "vec_id").alias("vec_id"))
+    stored = pathed(t).select(F.col("doc_key").alias("key"), "text", "doc_id")
+    wanted = pathed(t).where("doc_id % 2 = 0").select(F.col("doc_key").alias("key")).distinct()
+    return store.lookup(wanted, store.newest(stored, ["key"], "doc_id")).select(F.col("key").alias("doc_key"), "text")
 
 
 @query("a32_min_max", f"WITH {sql_bm25('s')} SELECT query_id, chunk_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS normal FROM s WINDOW w AS (PARTITION BY query_id)")
@@ -751,32 +812,41 @@ def _(t):
     return attribution.descendants(found, align.align_spans(old, new)).select("query_id", "fate", "chunk_id")
 
 
-SQL_ARMS = """
-ae AS (SELECT 'arm_s' AS arm_id, mb.query_id, target_rank, value FROM mb LEFT JOIN tg USING (query_id) WHERE metric = 'recall@5'),
-rg AS (SELECT ma.query_id, td.target_rank AS before_rank, value AS before_value FROM ma LEFT JOIN (SELECT d.query_id, min(rank) AS target_rank FROM d JOIN ex ON ex.query_id = d.query_id AND ex.doc_id = d.chunk_id GROUP BY 1) td USING (query_id) WHERE metric = 'recall@5'),
-cs AS (SELECT query_id, arm_id, target_rank, coalesce(target_rank <= coalesce(before_rank + 1, 5), false) AND value >= before_value AS ok FROM rg JOIN ae USING (query_id))"""
+SQL_ARMS = f"""
+{SQL_NORMAL}, {sql_fused(WEIGHTED)}, {sql_fused('coalesce(1 / (60 + dr), 0) + coalesce(1 / (60 + sr), 0)', 'rf')}, {sql_evaluated('f', 'mf')}, {sql_evaluated('rf', 'mr')},
+{', '.join(f"t_{x} AS (SELECT {x}.query_id, min(rank) AS target_rank FROM {x} JOIN ex ON ex.query_id = {x}.query_id AND ex.doc_id = {x}.chunk_id GROUP BY 1)" for x in ('d', 's', 'f', 'rf'))},
+rg AS (SELECT ma.query_id, target_rank AS before_rank, value AS before_value FROM ma LEFT JOIN t_d USING (query_id) WHERE metric = 'recall@5'),
+ae AS (SELECT 'arm_s' AS arm_id, 'retrieve' AS factor, mb.query_id, target_rank, value FROM mb LEFT JOIN t_s USING (query_id) WHERE metric = 'recall@5' UNION ALL SELECT 'arm_f', 'embed', mf.query_id, target_rank, value FROM mf LEFT JOIN t_f USING (query_id) WHERE metric = 'recall@5'),
+cs AS (SELECT query_id, arm_id, factor, target_rank, coalesce(target_rank <= coalesce(before_rank + 1, 5), false) AND value >= before_value AS ok FROM rg JOIN ae USING (query_id))"""
 
 
 def arm_inputs(t: Tables):
+    """Regressed queries, the evaluations of two arms, what each arm reverts, and suspects."""
     before, after = sides(t)
     want = expected(t)
     recall = lambda x: evaluated(t, x).where("metric = 'recall@5'").select("query_id", "value")
     rank = lambda x: metrics.target_ranks(x, sources(t), want)
     regressed = recall(before).withColumnRenamed("value", "before_value").join(rank(before).withColumnRenamed("target_rank", "before_rank"), "query_id", "left")
-    evals = recall(after).join(rank(after), "query_id", "left").withColumn("arm_id", F.lit("arm_s"))
-    reverts = t.spark.createDataFrame([("arm_s", "retrieve")], "arm_id string, factor string")
-    return regressed, evals, reverts, regressed.select("query_id", F.lit("retrieve").alias("factor"))
+    arm = lambda x, name: recall(x).join(rank(x), "query_id", "left").withColumn("arm_id", F.lit(name))
+    evals = arm(after, "arm_s").unionByName(arm(retrieve.fuse_weighted(before, after, 0.45, DIGITS), "arm_f"))
+    reverts = t.spark.createDataFrame([("arm_s", "retrieve"), ("arm_f", "embed")], "arm_id string, factor string")
+    suspects = regressed.select("query_id", F.explode(F.array(F.lit("retrieve"), F.lit("embed"))).alias("factor"))
+    again = arm(after, "arm_s").unionByName(arm(retrieve.fuse_reciprocal(before, after, 60, DIGITS), "arm_f"))
+    return regressed, evals, reverts, suspects, again
 
 
-@query("h20_confirm", f"WITH {SQL_BOTH}, {SQL_CLASSED}, {SQL_ARMS} SELECT query_id, 'retrieve' AS factor, CASE WHEN ok THEN 'verified' ELSE 'hypothesis' END AS status, CASE WHEN ok THEN target_rank END AS recovered_rank FROM cs")
+@query("h20_confirm", f"WITH {SQL_BOTH}, {SQL_ARMS} SELECT query_id, factor, CASE WHEN ok THEN 'verified' ELSE 'hypothesis' END AS status, CASE WHEN ok THEN target_rank END AS recovered_rank FROM cs")
 def _(t):
-    return attribution.confirm(*arm_inputs(t)).select("query_id", "factor", "status", F.col("recovered_rank").cast("bigint").alias("recovered_rank"))
+    return attribution.confirm(*arm_inputs(t)[:4]).select("query_id", "factor", "status", F.col("recovered_rank").cast("bigint").alias("recovered_rank"))
 
 
-@query("a27_fidelity", "SELECT 1.0::DOUBLE AS fidelity")
+@query("a27_fidelity", f"""WITH {SQL_BOTH}, {SQL_ARMS},
+ag AS (SELECT 'arm_s' AS arm_id, mb.query_id, target_rank AS r2, value AS v2 FROM mb LEFT JOIN t_s USING (query_id) WHERE metric = 'recall@5' UNION ALL SELECT 'arm_f', mr.query_id, target_rank, value FROM mr LEFT JOIN t_rf USING (query_id) WHERE metric = 'recall@5')
+SELECT round(coalesce(avg((coalesce(r2 <= coalesce(before_rank + 1, 5), false) AND v2 >= before_value)::INT), 1), 6) AS fidelity FROM cs JOIN rg USING (query_id) JOIN ag USING (arm_id, query_id) WHERE ok""")
 def _(t):
-    regressed, evals, reverts, suspects = arm_inputs(t)
-    return attribution.fidelity(attribution.confirm(regressed, evals, reverts, suspects), regressed, evals)
+    """Causes confirmed by one run of the arms, held against another run, in which one arm fuses by reciprocal ranks."""
+    regressed, evals, reverts, suspects, again = arm_inputs(t)
+    return attribution.fidelity(attribution.confirm(regressed, evals, reverts, suspects), regressed, again).select(r("fidelity").alias("fidelity"))
 
 
 @query("h18_plan_arms", f"""
@@ -784,9 +854,8 @@ WITH {SQL_TWO_CHUNKINGS}, w AS (SELECT DISTINCT text FROM (SELECT text FROM old
 SELECT count(*) AS texts, sum(length(text) // 4)::BIGINT AS tokens FROM w WHERE text NOT IN (FROM k)""")
 def _(t):
     old, new = two_chunkings(t)
-    wanted = old.select(F.col("text_hash").alias("key"), "text").unionByName(new.select(F.col("text_hash").alias("key"), "text")).dropDuplicates(["key"])
-    stored = old.where("ordinal = 0").select(F.col("text_hash").alias("key"))
-    return wanted.join(stored, "key", "left_anti").agg(F.count("*").alias("texts"), F.sum(F.expr("length(text) div 4")).alias("tokens"))
+    wanted = old.select(F.col("text_hash").alias("key"), "text").unionByName(new.select(F.col("text_hash").alias("key"), "text"))
+    return workflows.cost_of(workflows.unembedded(wanted, old.where("ordinal = 0").select(F.col("text_hash").alias("key")))).select("texts", "tokens")
 
 
 @query("w16_distinctive_sentence", f"""
@@ -810,20 +879,18 @@ mn AS (SELECT g.weight, round(coalesce(sum(v), 0) / (SELECT count(*) FROM benchm
 SELECT weight, mrr FROM mn ORDER BY mrr DESC, weight LIMIT 1""")
 def _(t):
     lists = retrieve.sweep_weights(*sides(t), [0.0, 0.25, 0.5, 0.75, 1.0], DIGITS)
-    first = lists.join(expected(t).select("query_id", F.col("source").cast("bigint").alias("chunk_id")), ["query_id", "chunk_id"]).groupBy("weight", "query_id").agg((1 / F.min("rank")).alias("v"))
-    n = questions(t).agg(F.count("*").alias("n"))
-    grid = lists.select("weight").distinct()
-    mean = grid.join(first, "weight", "left").groupBy("weight").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v")).crossJoin(F.broadcast(n))
-    return mean.select("weight", r(F.col("v") / F.col("n")).alias("mrr")).orderBy(F.desc("mrr"), "weight").limit(1)
+    per = [evaluated(t, lists.where(F.col("weight") == w)).where("metric = 'mrr'").groupBy("metric").agg(r(F.avg("value")).alias("value")).withColumn("weight", F.lit(w)) for w in (0.0, 0.25, 0.5, 0.75, 1.0)]
+    swept = per[0].unionByName(per[1]).unionByName(per[2]).unionByName(per[3]).unionByName(per[4])
+    return workflows.best_weights(swept).select("weight", F.col("value").alias("mrr"))
 
 
-@query("a29_noise_rate", "SELECT max(n) AS worst FROM (SELECT event_type, count(*) FILTER (value < 50) AS n FROM events GROUP BY event_type)")
+@query("a29_noise_rate", "SELECT round(max(n) / 100, 6) AS noise FROM (SELECT event_type, count(*) FILTER (value < 50 AND user_id % 2 = 0) AS n FROM events GROUP BY event_type)")
 def _(t):
-    runs = t.events.groupBy("event_type").agg(F.count_if(F.col("value") < 50).alias("n"))
-    return runs.agg(F.max("n").alias("worst"))
+    reruns = t.events.select(F.col("event_type").alias("run"), F.when(F.col("value") < 50, "regressed").otherwise("unchanged").alias("class"), F.when(F.col("user_id") % 2 == 0, "stable").otherwise("unstable").alias("stability"))
+    return scorecard.noise(reruns, 100).select(r("noise").alias("noise"))
 
 
-@query("x10_versions", "SELECT source || '-v' || doc_id AS dataset, regexp_extract(source || '-v' || doc_id, '^(.*)-v(\\d+)$', 1) AS name, doc_id + 1 AS next FROM documents")
+@query("x10_versions", "SELECT name, CASE WHEN regexp_matches(name, '^.+-v[0-9]+$') THEN regexp_extract(name, '^(.*)-v([0-9]+)$', 1) || '-v' || (regexp_extract(name, '^(.*)-v([0-9]+)$', 2)::BIGINT + 1) ELSE name || '-v2' END AS next FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN source ELSE source || '-v' || doc_id END AS name FROM documents)")
 def _(t):
-    name = F.concat("source", F.lit("-v"), F.col("doc_id").cast("string"))
-    return t.documents.select(name.alias("dataset"), F.regexp_extract(name, r"^(.*)-v(\d+)$", 1).alias("name"), (F.regexp_extract(name, r"^(.*)-v(\d+)$", 2).cast("bigint") + 1).alias("next"))
+    name = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.concat("source", F.lit("-v"), F.col("doc_id").cast("string")))
+    return t.documents.select(name.alias("name")).withColumn("next", golden.bump_col(F.col("name")))

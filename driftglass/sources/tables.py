@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,8 +24,14 @@ def require_all(keys: DataFrame, stored: DataFrame, key: str = "key") -> None:
 
 def insert_or_ignore(stored: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The rows to append: new keys only, the first by order of each."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return rows.join(stored.select(*keys), keys, "left_anti").withColumn("_k", first).where("_k = 1").drop("_k").select(*rows.columns)
+    rest = [c for c in rows.columns if c not in keys]
+    new = rows.join(stored.select(*keys), keys, "left_anti")
+    return new.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*").select(*rows.columns)
+
+
+def distinct_documents(rows: DataFrame, key: str, path: str) -> DataFrame:
+    """(key, path, n_paths): each content once, under its first path."""
+    return rows.groupBy(key).agg(F.min(path).alias(path), F.count("*").alias("n_paths"))
 
 
 def newest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
