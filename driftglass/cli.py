@@ -7,9 +7,11 @@ import json
 import sys
 from pathlib import Path
 
+from driftglass.functions import questions
+from driftglass.functions.providers import RequestFailed, parse_spec
 from driftglass.operators import golden, metrics
+from driftglass.plans import phase0, report, scorecard, workflows
 from driftglass.plans import pipeline as pl
-from driftglass.plans import report, workflows
 from driftglass.sources import adapters, scan
 from driftglass.sources.project import Project
 
@@ -29,15 +31,19 @@ def parser() -> argparse.ArgumentParser:
     o = lambda *flags, **kw: (flags, kw)
     yes, limit = o("--yes", action="store_true"), o("--max-cost", type=float)
     data, snap = o("dataset"), o("--snapshot", default="latest")
-    command("init", o("--adapter", default="local"), o("--source", default="docs"), o("--force", action="store_true"))
-    command("ingest", o("path", nargs="?"), o("--chunker"), o("--chunk-params", default="{}"), o("--dims", type=int), o("--adapter"), yes, limit)
+    command("init", o("--name", default=""), o("--dsn"), o("--adapter", default="local"), o("--source", default="docs"), o("--force", action="store_true"))
+    command("ingest", o("path", nargs="?"), o("--chunker"), o("--chunk-params", default="{}"), o("--dims", type=int), o("--embedding"), o("--adapter"), yes, limit)
     command("snapshot", o("action", choices=["list", "show", "pin", "unpin"]), o("ref", nargs="?", default="latest"))
-    command("dataset", o("action", choices=["generate", "import", "mine", "list", "show", "curate"]), o("--name", default="golden"), o("--from", dest="source"), o("--n", type=int, default=100), o("--seed", type=int, default=0), o("--reject", nargs="*"), o("--accept", nargs="*"), o("--edit-file"), snap)
-    command("eval", data, snap, o("--live", action="store_true"), o("--fail-if"), o("-k", default="1,5,10"))
+    command("dataset", o("action", choices=["generate", "import", "mine", "list", "show", "curate"]), o("--name", default="golden"), o("--from", dest="source"), o("--n", type=int, default=100), o("--seed", type=int, default=0), o("--reject", nargs="*"), o("--accept", nargs="*"), o("--edit-file"), o("--llm"), snap, yes, limit)
+    command("eval", data, snap, o("--live", action="store_true"), o("--fail-if"), o("--gate"), o("-k", default="1,5,10"))
     command("calibrate", data, snap, o("--runs", type=int, default=3), o("--noise", type=float, default=0.0))
     command("diff", o("a"), o("b"), o("--dataset", required=True), o("--attribute", choices=["fast", "deep"], default="fast"), o("--arms", choices=["auto", "full"], default="auto"), o("--format", choices=["table", "md", "json", "html"], default="table"))
-    command("compare-chunkers", data, o("path"), o("--from", dest="old", required=True), o("--to", dest="new", required=True))
-    command("compare-embeddings", data, o("path"), o("--from", dest="old", required=True), o("--to", dest="new", required=True))
+    command("compare-chunkers", data, o("path"), o("--from", dest="old", required=True), o("--to", dest="new", required=True), yes, limit)
+    command("compare-embeddings", data, o("path"), o("--from", dest="old", required=True), o("--to", dest="new", required=True), yes, limit)
+    command("attribute", o("a"), o("b"), o("--dataset", required=True), o("--arms", choices=["auto", "full"], default="auto"), o("--rule", choices=["rank1", "topk"], default="rank1"))
+    command("report", o("a"), o("b"), o("--dataset", required=True), o("--format", choices=["md", "html", "json"], default="html"), o("-o", "--output", default="report.html"))
+    command("scorecard", o("--scenario", action="append", choices=list(scorecard.SCENARIOS)))
+    command("phase0", data, snap, o("--runs", type=int, default=3), o("--noise", type=float, default=0.0))
     command("sweep", data, snap, o("--grid", default=",".join(map(str, GRID))))
     command("drift", data, o("--against", required=True), snap)
     command("ci", data, o("path"), o("--base", default="latest"), o("-o", "--output", default="retrieval-report.md"))
@@ -52,7 +58,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         spark = SparkSession.builder.appName("driftglass").getOrCreate()
     project = Project(spark, str(Path(args.project).absolute()))
-    return COMMANDS[args.command.replace("-", "_")](project, args)
+    try:
+        return COMMANDS[args.command.replace("-", "_")](project, args)
+    except (KeyError, ValueError, FileNotFoundError, RequestFailed, workflows.CostRefused) as wrong:
+        print(f"driftglass: {wrong.args[0] if wrong.args else wrong}", file=sys.stderr)
+        return 2
 
 
 def config(project: Project) -> dict:
@@ -63,21 +73,25 @@ def _init(project, a) -> int:
     if config(project) and not a.force:
         print("this project exists; --force starts it anew", file=sys.stderr)
         return 2
-    project.save("meta", "config", {"index": {"adapter": a.adapter}, "source": a.source})
+    index = {"adapter": a.adapter} | ({"dsn": a.dsn} if a.dsn else {})
+    project.save("meta", "config", {"index": index, "source": a.source} | ({"name": a.name} if a.name else {}))
     return 0
 
 
-def _pipeline(project, chunker=None, params=None, dims=None) -> pl.Pipeline:
-    c = {k: v for k, v in config(project).items() if k != "source"}
+def _pipeline(project, chunker=None, params=None, dims=None, spec=None) -> pl.Pipeline:
+    c = {k: v for k, v in config(project).items() if k not in ("source", "name")}
     if chunker:
         c["chunker"] = {"tool": chunker, "params": params or {}}
     if dims:
         c["embedding"] = {"dims": dims, "params": pl.DEFAULTS["embedding"]["params"]}
+    if spec:
+        section = parse_spec(spec)
+        c["embedding"] = ({"params": pl.DEFAULTS["embedding"]["params"]} if section["provider"] == "local" else {}) | section
     return pl.build(c)
 
 
 def _ingest(project, a) -> int:
-    p = _pipeline(project, a.chunker, json.loads(a.chunk_params), a.dims)
+    p = _pipeline(project, a.chunker, json.loads(a.chunk_params), a.dims, a.embedding)
     scanned = scan.directory(project.spark, a.path or config(project).get("source", "docs"))
     workflows.allow_cost(workflows.embedding_cost(project, scanned, p)["usd"], a.max_cost, a.yes)
     known = project.snapshots()
@@ -111,7 +125,13 @@ def _dataset(project, a) -> int:
     if a.action == "generate":
         s = project.snapshot(a.snapshot)
         paths = project.read("corpus_states").where(f"root = '{s.root}'").groupBy("doc_id").agg({"source_path": "max"}).withColumnRenamed("max(source_path)", "source")
-        cases = golden.generate(workflows.snapshot_chunks(project, s).join(paths, "doc_id").select("chunk_id", "doc_id", "source", "text"), a.n, a.seed)
+        chunks = workflows.snapshot_chunks(project, s).join(paths, "doc_id").select("chunk_id", "doc_id", "source", "text")
+        if a.llm:
+            picked = golden.round_robin(chunks.select("doc_id", "chunk_id"), a.n, a.seed).select("chunk_id", "pick").join(chunks, "chunk_id")
+            workflows.allow_cost(questions.question_cost(picked, a.llm).first().usd, a.max_cost, a.yes)
+            cases = golden.from_questions(questions.ask_questions(picked, a.llm))
+        else:
+            cases = golden.generate(chunks, a.n, a.seed)
     elif a.action == "import":
         cases = golden.import_file(spark, a.source)
     elif a.action == "mine":
@@ -130,10 +150,10 @@ def _eval(project, a) -> int:
     ev = workflows.evaluate(project, s, cases, k_values, adapters.LocalAdapter(project) if a.live else None)
     workflows.save_evaluation(project, ev, a.dataset, "live" if a.live else "replay", "local" if a.live else "none", k_values)
     print(report.table(sorted(ev.aggregate().items()), ("metric", "value")))
-    if a.fail_if:
+    if rule := a.fail_if or a.gate:
         from driftglass.operators.gating import threshold_gate
 
-        verdict = threshold_gate(ev.per_query, a.fail_if)
+        verdict = threshold_gate(ev.per_query, rule)
         print("\n".join(verdict.reasons))
         return int(not verdict.passed)
     return 0
@@ -165,12 +185,16 @@ def _diff(project, a) -> int:
 
 def _compare(project, a, build) -> int:
     scanned, cases = scan.directory(project.spark, a.path), project.cases(a.dataset).drop("dataset_id")
-    sides = [workflows.ingest(project, scanned, build(x)).snapshot for x in (a.old, a.new)]
+    plans = [build(x) for x in (a.old, a.new)]
+    usd = sum(workflows.embedding_cost(project, scanned, p)["usd"] for p in plans)
+    workflows.allow_cost(usd, a.max_cost, a.yes)
+    sides = [workflows.ingest(project, scanned, p).snapshot for p in plans]
     before, after = (workflows.evaluate(project, s, cases) for s in sides)
     d = workflows.diff(project, before, after, a.dataset)
     tags = cases.selectExpr("id as query_id", "explode(tags) as tag")
     deltas = metrics.tag_deltas(metrics.metric_deltas(before.per_query, after.per_query, "query_id"), tags).orderBy("tag", "metric").collect()
     print(report.table([(r.tag or "(all)", r.metric, r.n, r.delta) for r in deltas], ("tag", "metric", "queries", "change")))
+    print(report.comparison(d, a.old, a.new, usd))
     from driftglass.operators.align import fate_counts
 
     print(report.table([tuple(r) for r in fate_counts(d.alignment).orderBy("fate").collect()], ("fate", "chunks")))
@@ -182,7 +206,44 @@ def _compare_chunkers(project, a) -> int:
 
 
 def _compare_embeddings(project, a) -> int:
-    return _compare(project, a, lambda x: _pipeline(project, dims=int(x.split(":")[2]) if x.count(":") > 1 else 256))
+    return _compare(project, a, lambda x: _pipeline(project, spec=x))
+
+
+def _attribute(project, a) -> int:
+    cases, d, _ = _compared(project, a.a, a.b, a.dataset)
+    funnels, causes = workflows.attribute(project, d, cases, a.arms, a.rule)
+    found = sorted((r.asDict() for r in causes.collect()), key=lambda c: (str(c["query_id"]), c["factor"]))
+    project.save("attribution", d.diff_id, {"causes": found})
+    fates = {r.chunk_id: r.asDict() for r in d.alignment.collect()}
+    for f in sorted((r.asDict() for r in funnels.collect()), key=lambda f: str(f["query_id"])):
+        print(f"{f['query_id']}: {report.narrative(f, fates.get(f['tracer']), [c for c in found if c['query_id'] == f['query_id']])}")
+    return 0
+
+
+def _report(project, a) -> int:
+    _, d, calibration = _compared(project, a.a, a.b, a.dataset)
+    causes = (project.load("attribution", d.diff_id) or {}).get("causes", [])
+    made = {"md": lambda: report.diff_markdown(d, None, calibration is not None, causes), "html": lambda: report.query_page(d, causes), "json": lambda: report.diff_json(d, None, causes)}
+    Path(a.output).write_text(made[a.format]())
+    print(a.output)
+    return 0
+
+
+def _scorecard(project, a) -> int:
+    scores = scorecard.run_scenarios(project, tuple(a.scenario or scorecard.SCENARIOS))
+    rows = [(n, s.fidelity, s.stage_accuracy, s.coverage, s.narrative_violations, s.noise_floor, s.regressed) for n, s in [*scores.items(), ("overall", scorecard.overall(scores))]]
+    print(report.table(rows, ("scenario", "fidelity", "stage accuracy", "coverage", "violations", "noise", "regressed")))
+    wrong = scorecard.overall(scores).failures()
+    print("\n".join(wrong) or "passed")
+    return int(bool(wrong))
+
+
+def _phase0(project, a) -> int:
+    s = project.snapshot(a.snapshot)
+    found = phase0.validate(project, s, project.cases(a.dataset).drop("dataset_id"), adapters.LocalAdapter(project, a.noise), a.runs)
+    project.save("phase0", s.snapshot_id, found.to_dict())
+    print(json.dumps(found.to_dict(), indent=2, sort_keys=True))
+    return int(not found.stable())
 
 
 def _sweep(project, a) -> int:
@@ -215,4 +276,4 @@ def _gc(project, a) -> int:
     return 0
 
 
-COMMANDS = {n[1:]: f for n, f in list(globals().items()) if n in {"_init", "_ingest", "_snapshot", "_dataset", "_eval", "_calibrate", "_diff", "_compare_chunkers", "_compare_embeddings", "_sweep", "_drift", "_ci", "_gc"}}
+COMMANDS = {n[1:]: f for n, f in list(globals().items()) if n in {"_init", "_ingest", "_snapshot", "_dataset", "_eval", "_calibrate", "_diff", "_compare_chunkers", "_compare_embeddings", "_sweep", "_drift", "_ci", "_gc", "_attribute", "_report", "_scorecard", "_phase0"}}

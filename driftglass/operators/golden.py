@@ -56,11 +56,14 @@ def import_file(spark: SparkSession, path: str) -> DataFrame:
 
 def curate(cases: DataFrame, edits: DataFrame, accept: list[str] | None = None, reject: list[str] | None = None) -> DataFrame:
     """Cases with edits (id, question, expected_sources, tags; NULL leaves a field) applied and rejected ones dropped."""
-    unknown = {*(accept or ()), *(reject or ())} - {r.id for r in cases.select("id").collect()}
+    known, edited = {r.id for r in cases.select("id").collect()}, {r.id for r in edits.select("id").collect()}
+    unknown = {*(accept or ()), *(reject or ()), *edited} - known
     if unknown:
         raise ValueError(f"no such cases: {sorted(unknown)}")
     if both := {*(accept or ())} & {*(reject or ())}:
         raise ValueError(f"both accepted and rejected: {sorted(both)}")
+    if both := edited & {*(reject or ())}:
+        raise ValueError(f"both edited and rejected: {sorted(both)}")
     e = edits.select("id", *(F.col(c).alias(f"new_{c}") for c in ("question", "expected_sources", "tags")))
     rows = cases.join(e, "id", "left")
     rows = rows.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in ("question", "expected_sources", "tags") else c for c in cases.columns))
@@ -134,6 +137,12 @@ def generate(chunks: DataFrame, n: int, seed: int = 0, prefix: str = "q") -> Dat
     return spark.createDataFrame(out, CASE)
 
 
+def from_questions(asked: DataFrame) -> DataFrame:
+    """Cases of chunks (source, pick, question) that a model asked about; those without a question are left out."""
+    rows = asked.where("question is not null")
+    return rows.select(F.format_string("q_%03d", "pick").alias("id"), "question", F.array("source").alias("expected_sources"), F.array(top_directory(F.col("source"))).alias("tags"), F.lit("model").alias("origin"), F.col("chunk_id").alias("source_trace"))
+
+
 def bump(name: str) -> str:
     """golden-v1 to golden-v2; a name without a version starts at 2."""
     stem, _, version = name.rpartition("-v")

@@ -54,8 +54,8 @@ def audit(text: str, funnel: dict, fate: dict | None, causes: list[dict]) -> lis
     arms = {c["arm_id"] for c in causes if c["status"] == "verified"}
     bad = [f"arm {a}" for a in re.findall(r"\barm_[0-9a-f]+\b", text) if a not in arms]
     bad += [f"fate {f}" for f in FATES if _has(text, f) and (fate is None or fate["fate"] != f)]
-    if _has(text, "ann") and not funnel.get("ann"):
-        bad.append("stage ann")
+    carried = {funnel.get("stage")} | ({"ann"} if funnel.get("ann") else set()) | {s for s in ("dense", "sparse", "fused") if f"{s}_before" in funnel or f"{s}_after" in funnel}
+    bad += [f"stage {s}" for s in STAGES if _has(text, s) and s not in carried]
     known = {c["factor"] for c in causes} | ({"chunk"} if fate else set())
     return bad + [f"factor {w}" for f, words in _NAMES.items() if f not in known for w in words if _has(text, w)]
 
@@ -84,6 +84,28 @@ def page(title: str, markdown: str) -> str:
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><pre>{html.escape(markdown)}</pre></body></html>"
 
 
+def comparison(diff, old: str, new: str, usd: float = 0.0, metric: str = "recall@5") -> str:
+    """What a comparison of two settings says: changes, counts, cost and which to keep."""
+    change = diff.deltas.get(metric, 0.0)
+    keep = new if change > 0 else old if change < 0 else "either"
+    rows = "\n".join(f"| {m} | {d:+.4f} |" for m, d in sorted(diff.deltas.items()))
+    counts = ", ".join(f"{n} {k}" for k, n in sorted(diff.counts().items()))
+    return f"## {old} against {new}\n\n| metric | change |\n|-|-|\n{rows}\n\nQueries: {counts}\n\nCost: ${usd:.4f}\n\n**Recommendation: {keep}** ({metric} {change:+.4f})"
+
+
+def query_page(diff, causes: list[dict] | None = None) -> str:
+    """A self-contained page with a row per query."""
+    by: dict = {}
+    for c in causes or []:
+        by.setdefault(c["query_id"], []).append(f"{c['factor']} ({c['status']})")
+    cell = lambda x: f"<td>{html.escape(str(x))}</td>"
+    rows = sorted(diff.queries.collect(), key=lambda r: (r["class"] != "regressed", str(r.query_id)))
+    body = "".join("<tr>" + "".join(map(cell, (r.query_id, r["class"], r.stability, f"{r.before:.4f}", f"{r.after:.4f}", f"{r.delta:+.4f}", ", ".join(by.get(r.query_id, []))))) + "</tr>" for r in rows)
+    deltas = "".join(f"<tr>{cell(m)}{cell(f'{d:+.4f}')}</tr>" for m, d in sorted(diff.deltas.items()))
+    head = "".join(f"<th>{h}</th>" for h in ("query", "class", "stability", "before", "after", "change", "causes"))
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(diff.diff_id)}</title></head><body><h1>{html.escape(diff.diff_id)}</h1><table><tr><th>metric</th><th>change</th></tr>{deltas}</table><table><tr>{head}</tr>{body}</table></body></html>"
+
+
 def table(rows: list[tuple], header: tuple) -> str:
     """Aligned plain text."""
     cells = [tuple(map(str, header)), *(tuple(f"{c:.4f}" if isinstance(c, float) else str(c) for c in r) for r in rows)]

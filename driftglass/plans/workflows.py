@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from driftglass import ids
 from driftglass.functions import text
+from driftglass.functions.providers import RemoteEmbedder
 from driftglass.functions.vectors import HashEmbedder, to_half
 from driftglass.operators import align, attribution, gating, metrics, retrieve
 from driftglass.plans import pipeline as pl
@@ -21,18 +24,18 @@ class CostRefused(Exception):
     """A billed step would cost more than was allowed."""
 
 
-def provider_of(stage: pl.Stage) -> HashEmbedder:
+def provider_of(stage: pl.Stage) -> HashEmbedder | RemoteEmbedder:
     p = stage.params
     if p["provider"] != "local":
-        raise RuntimeError(f"the provider {p['provider']} needs a client that is not installed here")
+        return RemoteEmbedder(p["provider"], p["model"], p["dims"])
     return HashEmbedder(p["dims"], p.get("seed", 0), tuple(p.get("ngram", (1, 2))), p["model"])
 
 
-def model_key(e: HashEmbedder) -> str:
+def model_key(e) -> str:
     return f"{e.provider}_{e.model}_{e.dims}_{ids.params_key(e.params)}"
 
 
-def keyed(chunks: DataFrame, e: HashEmbedder) -> DataFrame:
+def keyed(chunks: DataFrame, e) -> DataFrame:
     return chunks.withColumn("key", ids.vector_key_col(F.col("text_hash"), e.provider, e.model, e.dims, ids.params_key(e.params)))
 
 
@@ -107,6 +110,21 @@ class Evaluation:
         return {r.metric: r.value for r in metrics.aggregate_metrics(self.per_query).collect()}
 
 
+RERANKERS = ("overlap",)
+
+
+def question_vectors(project: Project, queries: DataFrame, e) -> DataFrame:
+    """(query_id, vector) of queries (query_id, text), each distinct text embedded once per model and kept in the project."""
+    key = ids.vector_key_col(F.sha2("text", 256), e.provider, e.model, e.dims, ids.params_key(e.params))
+    asked = queries.withColumn("key", key)
+    stored = project.read("query_embeddings").select("key")
+    new = asked.groupBy("key").agg(F.first("text").alias("text")).join(stored, "key", "left_anti")
+    if new.head(1):
+        project.append("query_embeddings", new.select("key", F.lit(e.dims).alias("dims"), e.column(F.col("text")).alias("vector")))
+    vectors = project.read("query_embeddings").groupBy("key").agg(F.first("vector").alias("vector"))
+    return asked.join(vectors, "key").select("query_id", "vector")
+
+
 def expected_sources(cases: DataFrame) -> DataFrame:
     return cases.select(F.col("id").alias("query_id"), F.explode("expected_sources").alias("source"))
 
@@ -122,16 +140,21 @@ def evaluate(project: Project, s: Snapshot, cases: DataFrame, k_values=metrics.K
     chunks = snapshot_chunks(project, s)
     vectors = project.vectors(keyed(chunks, e), model_key(e)).select("chunk_id", "vector")
     queries = cases.select(F.col("id").alias("query_id"), F.col("question").alias("text"))
-    query_vectors = queries.select("query_id", e.column(F.col("text")).alias("vector"))
+    query_vectors = question_vectors(project, queries, e)
     setting = s.pipeline.stage("retrieve").params
     rerank = s.pipeline.stage("rerank")
     ordered = chunks.select("chunk_id", F.struct("doc_id", "ordinal").alias("chunk_seq"), "text")
     top_k = int(setting.get("top_k", 10))
+    if rerank is not None and rerank.tool not in RERANKERS:
+        raise ValueError(f"the reranker {rerank.tool!r} is unknown; known are {', '.join(RERANKERS)}")
     if adapter is None:
         runs = retrieve.run_queries(queries, query_vectors, ordered, vectors, top_k, setting.get("hybrid"), rerank and rerank.params, digits)
     else:
         depth = retrieve.depth_for(top_k)
-        dense = adapter.query(pl.collection_name(s.root, s.pipeline), query_vectors, depth)
+        name = pl.collection_name(s.root, s.pipeline)
+        if s.chunk_count and not adapter.count(name):
+            warnings.warn(f"the collection {name} is empty; ingest this snapshot with the adapter first", stacklevel=2)
+        dense = adapter.query(name, query_vectors, depth)
         sparse = retrieve.Bm25(ordered).topk(queries, depth, digits)
         fused = retrieve.fuse(dense, sparse, setting.get("hybrid"), digits)
         final = retrieve.rerank_overlap(fused, queries, ordered, top_k, rerank.params.get("top_n"), digits) if rerank else fused.where(F.col("rank") <= top_k)
@@ -190,8 +213,8 @@ def diff(project: Project, before: Evaluation, after: Evaluation, dataset_id: st
     return Diff(ids.diff_key(a.snapshot_id, b.snapshot_id, dataset_id), config, {r.metric: r.delta for r in deltas.collect()}, rows, fates.persist(), before, after)
 
 
-def funnels(project: Project, d: Diff, cases: DataFrame, top_k: int = 5) -> DataFrame:
-    """A funnel with its failing stage for every regressed query."""
+def funnels(project: Project, d: Diff, cases: DataFrame, top_k: int = 5, live_dense: DataFrame | None = None) -> DataFrame:
+    """A funnel with its failing stage for every regressed query; live_dense are the ranks an index served."""
     regressed = d.queries.where(F.col("class") == "regressed").select("query_id")
     found = attribution.tracers(d.before.final().join(regressed, "query_id", "left_semi"), d.before.sources, expected_sources(cases))
     s = d.after.snapshot
@@ -200,13 +223,16 @@ def funnels(project: Project, d: Diff, cases: DataFrame, top_k: int = 5) -> Data
     vectors = project.vectors(keyed(chunks, e), model_key(e)).select("chunk_id", "vector")
     asked = cases.select(F.col("id").alias("query_id"), "question").join(found.select("query_id"), "query_id", "left_semi")
     shadow = retrieve.dense_topk(asked.select("query_id", e.column(F.col("question")).alias("vector")), vectors, None)
-    rows = attribution.funnel(d.before.candidates, d.after.candidates, found, d.alignment, chunks, shadow, top_k=int(s.pipeline.stage("retrieve").params.get("top_k", 10)))
+    rows = attribution.funnel(d.before.candidates, d.after.candidates, found, d.alignment, chunks, shadow, live_dense, top_k=int(s.pipeline.stage("retrieve").params.get("top_k", 10)))
     return rows.withColumn("stage", attribution.failing_stage(top_k))
 
 
 def run_arms(project: Project, a: Snapshot, b: Snapshot, cases: DataFrame, arms: list[dict[str, str]], metric: str = "recall@5") -> DataFrame:
-    """(arm_id, query_id, target_rank, value); chunk sets and vectors known already are used again."""
-    out = None
+    """(arm_id, query_id, target_rank, value); chunk sets and vectors known already are used again.
+
+    Each arm is written when it is evaluated, so that a plan holds one arm and a lost run costs one.
+    """
+    where = f"arms/{ids.digest(a.snapshot_id, b.snapshot_id, metric, uuid.uuid4().hex)}"
     for arm in arms:
         p = pl.compose(a, b, arm)
         root = (a if arm.get("corpus") == "A" else b).root
@@ -216,8 +242,8 @@ def run_arms(project: Project, a: Snapshot, b: Snapshot, cases: DataFrame, arms:
         ev = evaluate(project, s, cases)
         value = ev.per_query.where(F.col("metric") == metric).select("query_id", "value")
         rows = value.join(ev.targets, "query_id", "left").select(F.lit(ids.arm_key(arm)).alias("arm_id"), "query_id", "target_rank", "value")
-        out = rows if out is None else out.unionByName(rows)
-    return out.persist()
+        rows.write.mode("append").parquet(project.path(where))
+    return project.spark.read.schema(rows.schema).parquet(project.path(where))
 
 
 def _snapshot_uncommitted(project: Project, root: str, p: Pipeline) -> Snapshot:

@@ -150,6 +150,23 @@ class Project:
             self.drop_partition(name, value)
         return victims
 
+    # -- logged runs
+
+    def logged(self, run_id: str) -> DataFrame:
+        """(query_id, stage, rank, chunk_id, score) as a run recorded them; KeyError where none did."""
+        rows = self.read("candidates").where(F.col("run_id") == run_id)
+        if not rows.head(1):
+            raise KeyError(f"no run {run_id}")
+        return rows.select("query_id", "stage", "rank", "chunk_id", "score")
+
+    def root_of(self, prefix: str) -> str:
+        """The one corpus root that begins with prefix."""
+        roots = [r.root for r in self.read("corpus_states").select("root").distinct().collect()]
+        found = [r for r in roots if r == prefix] or [r for r in roots if r.startswith(prefix)]
+        if len(found) != 1:
+            raise (ValueError if found else KeyError)(f"the root {prefix!r} fits {len(found)} corpora")
+        return found[0]
+
     # -- golden sets
 
     def save_cases(self, dataset_id: str, cases: DataFrame) -> None:

@@ -131,3 +131,108 @@ def test_curation_rejects_unknown_ids(spark):
 
 def test_pages_are_escaped():
     assert "<script>" not in report.page("t", "<script>")
+
+
+def test_services_answer_over_http(spark, monkeypatch):
+    seen = []
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers["Authorization"], len(body["input"])))
+            if len(seen) == 1:  # a busy server is asked again
+                self.send_error(503)
+                return
+            data = [{"index": i, "embedding": [float(len(t)), 1.0] + [0.0] * 1534} for i, t in enumerate(body["input"])]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": data[::-1]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    e = providers.RemoteEmbedder("openai", "text-embedding-3-small", url=f"http://127.0.0.1:{server.server_port}")
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    with pytest.raises(providers.RequestFailed):
+        e.embed(["a"])
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    got = e.embed([""] * 255 + ["abc"] * 3)
+    assert got.shape == (258, 1536) and np.allclose(got[-1][:2], np.array([3, 1]) / np.sqrt(10)) and [n for _, n in seen] == [256, 256, 2] and seen[0][0] == "Bearer k"
+    server.shutdown()
+    assert e.usd_per_1k == 0.00002 and providers.parse_spec("voyage:voyage-3.5") == {"provider": "voyage", "model": "voyage-3.5", "dims": 1024, "params": {}}
+    assert providers.parse_spec("local:hash-v1:64")["dims"] == 64
+    for bad in ("local", "nobody:x", "openai:x", "openai:text-embedding-3-small:7", "a:b:c:d"):
+        with pytest.raises(ValueError):
+            providers.parse_spec(bad)
+
+
+def test_one_comment_is_kept_up_to_date():
+    pages, sent = {1: [{"id": 5, "body": "hi"}], 2: [{"id": 9, "body": comment.MARK + " old"}], 3: []}, []
+
+    def send(url, body, headers, method="POST"):
+        if method == "GET":
+            return pages[int(url.rpartition("=")[2])]
+        sent.append((method, url, body["body"]))
+        return {"id": 77}
+
+    assert comment.upsert_comment("o/r", 3, "new", "t", send=send) == "9" and sent[-1][0] == "PATCH" and sent[-1][1].endswith("/issues/comments/9")
+    pages[2] = []
+    assert comment.upsert_comment("o/r", 3, "new", "t", send=send) == "77" and sent[-1] == ("POST", "https://api.github.com/repos/o/r/issues/3/comments", comment.MARK + "\nnew")
+
+
+def test_questions_by_a_model(spark):
+    chunks = spark.createDataFrame([("c1", "d1", "ops/a.md", 1, "x" * 40), ("c2", "d2", "b.md", 2, "y")], "chunk_id string, doc_id string, source string, pick int, text string")
+    cases = golden.from_questions(questions.ask_questions(chunks, "m", lambda model, t: "Why x?\nmore" if t[0] == "x" else " ")).collect()
+    assert [(c.id, c.question, c.expected_sources, c.tags, c.source_trace) for c in cases] == [("q_001", "Why x?", ["ops/a.md"], ["ops"], "c1")]
+    cost = questions.question_cost(chunks, "gpt-4o").first()
+    assert (cost.requests, cost.tokens) == (2, 10 + 2 * 60 + 2 * 40) and abs(cost.usd - (130 / 1000 * 0.0025 + 80 / 1000 * 0.01)) < 1e-12
+    with pytest.raises(ValueError):
+        questions.question_cost(chunks, "nothing")
+
+
+def test_served_against_exact(spark):
+    rows = lambda r: spark.createDataFrame(r, "query_id string, chunk_id string, rank int")
+    exact = rows([("q", "a", 1), ("q", "b", 2), ("q", "c", 3), ("p", "a", 1)])
+    got = {r.query_id: (r.shared, r.displaced) for r in phase0.ann_effect(rows([("q", "b", 1), ("q", "a", 2)]), exact, 2).collect()}
+    assert got == {"q": (1.0, 1.0), "p": (0.0, 0.0)}
+
+
+def test_edits_of_curation_are_checked(spark):
+    cases = spark.createDataFrame([("a", "q", ["s"], [], "hand", None)], golden.CASE)
+    edits = lambda i: spark.createDataFrame([(i, "new", None, None)], "id string, question string, expected_sources array<string>, tags array<string>")
+    with pytest.raises(ValueError):
+        golden.curate(cases, edits("zz"))
+    with pytest.raises(ValueError):
+        golden.curate(cases, edits("a"), reject=["a"])
+    assert golden.curate(cases, edits("a")).first().question == "new"
+
+
+def test_caches_logged_runs_and_prefixes(spark, tmp_path):
+    project = Project(spark, str(tmp_path / "p"))
+    queries = spark.createDataFrame([("q1", "same words"), ("q2", "same words"), ("q3", "other")], "query_id string, text string")
+    e = HashEmbedder(16)
+    for _ in range(2):
+        got = {r.query_id: r.vector for r in workflows.question_vectors(project, queries, e).collect()}
+        assert project.read("query_embeddings").count() == 2 and got["q1"] == got["q2"] and np.allclose(got["q3"], e.embed(["other"])[0])
+    assert workflows.question_vectors(project, queries, HashEmbedder(8)).count() == 3 and project.read("query_embeddings").count() == 4
+    project.replace_partition("candidates", spark.createDataFrame([("r1", "q", "final", 1, "c", 0.5)], "run_id string, query_id string, stage string, rank int, chunk_id string, score double"))
+    assert [tuple(r) for r in project.logged("r1").collect()] == [("q", "final", 1, "c", 0.5)]
+    with pytest.raises(KeyError):
+        project.logged("r2")
+    project.record_corpus("mr_ab1", spark.createDataFrame([("a.md", "d")], "source_path string, doc_id string"))
+    project.record_corpus("mr_ab2", spark.createDataFrame([("a.md", "d")], "source_path string, doc_id string"))
+    assert project.root_of("mr_ab1") == "mr_ab1"
+    with pytest.raises(ValueError):
+        project.root_of("mr_a")
+    with pytest.raises(KeyError):
+        project.root_of("mr_x")
+
+
+def test_scenarios_find_their_cause(spark, tmp_path):
+    scores = scorecard.run_scenarios(Project(spark, str(tmp_path / "p")), ("weights", "corpus"))
+    assert all(s.regressed for s in scores.values())
+    whole = scorecard.overall(scores)
+    assert whole.fidelity == 1.0 and whole.noise_floor == 0.0 and whole.narrative_violations == 0 and whole.coverage >= 0.7
+    assert not scorecard.Scores(0.9, 1, 1, 0, 0).passes() and scorecard.Scores(0.9, 1, 1, 0, 0.5).failures() == ["fidelity is 0.9, the bound is 0.995", "noise_floor is 0.5, the bound is 0.02"]
