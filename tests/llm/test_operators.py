@@ -298,8 +298,7 @@ def test_near_passages_in_large_meetings_are_found(spark, edits, hot, least):
     assert got <= want and len(got) >= least * len(want)
 
 
-@pytest.mark.parametrize("hot,block", [(64, 1 << 15), (4, 1 << 15), (64, 7)])
-def test_later_documents_of_large_meetings_meet(spark, hot, block):
+def late_pairs():
     """All share a line too short to count; only pairs of later ones, none of them among the least, share near passages around it."""
     rng = random.Random(25)
     line, rows = words(rng, 30, 10**6), []
@@ -311,12 +310,27 @@ def test_later_documents_of_large_meetings_meet(spark, hot, block):
         edited[5] = "edited"
         for j, part in enumerate((before, " ".join(edited))):
             rows.append((i + j, f"{words(rng, 60, 10**6)} {part} {line} {after} {words(rng, 60, 10**6)}", "a"))
+    return rows
+
+
+@pytest.mark.parametrize("hot,block", [(64, 1 << 15), (4, 1 << 15), (64, 7)])
+def test_later_documents_of_large_meetings_meet(spark, hot, block):
+    rows = late_pairs()
     s = {i: substring_dedup.shingle_hashes(substring_dedup.token_hashes(t), substring_dedup.SHINGLE) for i, t, _ in rows}
     want = {(i, j) for i in s for j in range(i) if substring_dedup.passages(s[i], s[j])}
     got = {(r.doc_id, r.source_id) for r in substring_dedup.repeated_passages(table(spark, rows), hot, block).collect()}
     assert want == {(i + 1, i) for i in range(20, 100, 2)} and got == want
 
 
+def test_links_of_a_long_source_are_verified_in_blocks(spark, monkeypatch):
+    rng = random.Random(26)
+    passages = [words(rng, 60, 10**6) for _ in range(3)]
+    rows = [(0, " ".join(passages), "a")] + [(i, f"{words(rng, 20, 10**6)} {passages[i % 3]} {words(rng, 20, 10**6)}", "a") for i in range(1, 13)]
+    whole = sorted(map(tuple, substring_dedup.repeated_passages(table(spark, rows)).collect()))
+    monkeypatch.setattr(substring_dedup, "BLOCK_LINKS", 2)
+    assert whole and whole == sorted(map(tuple, substring_dedup.repeated_passages(table(spark, rows)).collect()))
+
+
 def test_passages_inside_weak_chains_are_found():
     rng = random.Random(23)
     shingles = lambda w: substring_dedup.shingle_hashes(substring_dedup.token_hashes(" ".join(w)), 5)
