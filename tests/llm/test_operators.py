@@ -637,3 +637,9 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert seen[3].where(F.contains("text", F.lit(passage))).count() == 1
     assert sum(r.n_tokens for r in seen[4].collect()) == sum(map(len, map(bpe.Codec(bpe.load_ranks()).encode, (r.text for r in seen[3].collect() if r.text))))
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).drop("bin_id").collect())) == sorted(map(str, seen[4].drop("bin_id").collect()))
+
+
+def test_pipeline_cuts_passages_of_later_documents_in_large_meetings(spark):
+    rows = late_pairs()
+    cut = {r.doc_id: r.text for r in corpus_pipeline.substring_dedup(spark, table(spark, rows), "").collect()}
+    assert {i for i, t, _ in rows if cut[i] != t} == set(range(21, 100, 2))
