@@ -19,6 +19,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -182,23 +183,42 @@ def train(rows: list[tuple[str, float]]) -> tuple[list[str], np.ndarray, float]:
     if not rows:
         return [], np.empty(0), -20.0
     y = np.array([p for _, p in rows])
+    # texts as numbers of their words, whose terms are listed once: the terms of all texts are many times as long as these
     index: dict[str, int] = {}
-    flat, doc = [], []
-    for i, (text, _) in enumerate(rows):
-        f = [index.setdefault(t, len(index)) for w in words_of(text) for t in terms_of(w)]
-        flat.append(np.array(f, np.int64))
-        doc.append(np.full(len(f), i))
-    at, doc = np.concatenate(flat), np.concatenate(doc)
-    df = np.bincount(at, minlength=len(index))
-    bad = np.bincount(at, y[doc], minlength=len(index))
+    known: dict[str, int] = {}
+    of_word, ends, texts = array("i"), array("q", [0]), []
+    for text, _ in rows:
+        own = array("i")
+        for w in words_of(text):
+            if (k := known.get(w)) is None:
+                k = known[w] = len(known)
+                of_word.extend(index.setdefault(t, len(index)) for t in terms_of(w))
+                ends.append(len(of_word))
+            own.append(k)
+        texts.append(np.array(own))
+    del known
+    of_word, ends = np.array(of_word, np.int32), np.array(ends)
+
+    def terms_at(own: np.ndarray) -> np.ndarray:
+        size = ends[own + 1] - ends[own]
+        return of_word[np.repeat(ends[own] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    df, bad = np.zeros(len(index), np.int64), np.zeros(len(index))
+    for own, p in zip(texts, y.tolist(), strict=True):
+        f = terms_at(own)
+        np.add.at(df, f, 1)
+        np.add.at(bad, f, p)
     rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     z = np.abs(bad - df * rate) / np.sqrt(np.maximum(df, 1) * rate * (1 - rate))
     chosen = (df >= 3) & (z > MIN_Z)
     if not chosen.any():
         return [], np.empty(0), float(np.log(rate / (1 - rate)))
     terms = [t for t, c in zip(index, chosen, strict=True) if c]
-    keep = chosen[at]
-    at, doc = (np.cumsum(chosen) - 1)[at[keep]], doc[keep]
+    del index
+    flat = [f[chosen[f]] for f in map(terms_at, texts)]
+    del texts
+    doc = np.repeat(np.arange(len(rows)), [len(f) for f in flat])
+    at = (np.cumsum(chosen) - 1)[np.concatenate(flat)]
     n, m = len(rows), len(terms)
     scale = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=m), 1) / n + 0.01)  # rare features count alike
     val = np.minimum(scale[at], 10.0)

@@ -1,6 +1,7 @@
 """Brute-force and edge-case tests of the training-data operators."""
 
 import random
+import tracemalloc
 from collections import Counter
 from math import log
 
@@ -399,6 +400,17 @@ def test_toxicity_without_labels_trains_on_posteriors(spark):
     assert all(got[i] < 0.1 for i in range(300))
 
 
+def test_training_takes_little_memory():
+    rng = random.Random(3)
+    rows = [(" ".join(f"wordnumber{rng.randrange(2000)}" for _ in range(200)) + " idiot" * (k % 5 == 0), 0.9 if k % 5 == 0 else 0.1) for k in range(1000)]
+    tracemalloc.start()
+    terms, weights, _ = toxicity.train(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(terms, weights, strict=True))["idiot"] > 0
+    assert peak < 20e6  # 1.3 million terms of texts
+
+
 def test_shouting_counts_all_capitals():
     votes = toxicity.Votes(frozenset())
     texts = {"Hello there": 0, "aBCDEFGh": 1, "ABCDEFGhijklmnO": 1, "ÉÀÈÙÂÊé": 1, "Élan vital": 0}
