@@ -349,6 +349,19 @@ def test_passages_inside_weak_chains_are_found():
     assert substring_dedup.passages(shingles(line + tail), shingles(line + other))
 
 
+def test_chains_on_one_place_of_the_source_are_left_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    once = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+    again = np.full(600, once[150])  # a text that repeats a line, of which the source has one
+    calls = []
+    monkeypatch.setattr(substring_dedup, "_parts", lambda *a, real=substring_dedup._parts: calls.append(1) or real(*a))
+    assert substring_dedup.passages(again, once) == []
+    assert len(calls) < 5
+    both = np.concatenate((again, once[100:200], again))
+    assert [p[:4] for p in substring_dedup.passages(both, once)] == [(600, 704, 100, 204)]
+    assert len(calls) < 20
+
+
 def test_cutting_keeps_the_rest_as_it_is():
     assert substring_dedup.cut_words("a  b\nc d\te  f ", [(1, 3)]) == "a  d\te  f "
     assert substring_dedup.cut_words("a b", [(0, 2)]) == ""
