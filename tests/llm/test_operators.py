@@ -362,6 +362,27 @@ def test_chains_on_one_place_of_the_source_are_left_at_once(monkeypatch):
     assert len(calls) < 20
 
 
+def test_cutting_verifies_no_more_than_it_needs(spark):
+    rng = random.Random(12)
+    passage, other = words(rng, 80), words(rng, 90)
+    rows = [(i, f"{words(rng, 30)} {passage} {words(rng, 60 + i)} {other if i % 3 == 0 else words(rng, 40)} {passage if i % 4 == 0 else ''}", "a") for i in range(1, 31)]
+    # near passages that reach beyond what others cover
+    rows += [(i, " ".join([*words(rng, 20).split(), *passage.split()[i % 7 :], *words(rng, 15).split(), *rows[i % 5][1].split()[60:140]]), "a") for i in range(31, 41)]
+    alone = words(rng, 80)
+    rows += [(i, f"{words(rng, 30)} {alone} {words(rng, 60)}", "a") for i in range(101, 121)]
+    docs = table(spark, rows)
+
+    def covered(found):
+        out = {}
+        for r in found:
+            out.setdefault((r.doc_id, r.fp), set()).update(range(r.start_word, r.end_word))
+        return out
+
+    every, needed = (substring_dedup.repeated_passages(docs, spans=spans).collect() for spans in (False, True))
+    assert covered(every) == covered(needed) and len(covered(needed)) == 58
+    assert sum(r.doc_id > 101 for r in needed) == 19 < sum(r.doc_id > 101 for r in every)
+
+
 def test_cutting_keeps_the_rest_as_it_is():
     assert substring_dedup.cut_words("a  b\nc d\te  f ", [(1, 3)]) == "a  d\te  f "
     assert substring_dedup.cut_words("a b", [(0, 2)]) == ""
