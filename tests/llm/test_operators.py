@@ -178,6 +178,44 @@ def test_sets_at_the_threshold_meet(n, m, common):
     assert met == 2000 if n < 64 else met >= 1997
 
 
+@pytest.mark.parametrize("n,m,common", [(1, 2, 1), (3, 3, 2), (15, 30, 15), (40, 40, 27), (63, 126, 63)])
+def test_short_sets_at_the_threshold_meet_where_grams_are_frequent(n, m, common):
+    rng = np.random.default_rng(n)
+    low = min(ngram_join.band_of(n), ngram_join.band_of(m))
+    for _ in range(500):
+        a, b = pair_of_sets(rng, n, m, common)
+        many = np.union1d(a, b)
+        many = rng.permutation(many)[: rng.integers(len(many) + 1)]
+        known = ngram_join.Frequent(many, rng.integers(257, 1 << 20, len(many)))
+        assert len(np.intersect1d(ngram_join.chunk_keys(a, low, known), ngram_join.chunk_keys(b, low, known)))
+
+
+def test_short_texts_do_not_meet_by_what_most_of_them_have(spark, monkeypatch):
+    """Texts with the same seven words first, and near copies of some: groups hold few sets, and the result is the same."""
+    rng = random.Random(12)
+    head, kept = words(rng, 7), {}
+    rows = [(i, f"{head} {words(rng, 12)}", "a") for i in range(300)]
+    rows += [(400 + i, near(rng, rows[i][1], 1), "a") for i in range(40)]
+    real = ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, tag: kept.setdefault(tag, real(df, tag)))
+    got = sorted(tuple(r) for r in ngram_join.near_copies(table(spark, rows), frequent=100).collect())
+    assert got == classes_by_brute_force(rows) and any(r[2] for r in got)
+    assert max(len(r.left) + len(r.right) for r in kept["ngram-groups"].collect()) <= 20
+
+
+def test_texts_of_near_copies_travel_seldom(spark, monkeypatch):
+    """Near copies share many chunks, each with some of the others; their texts go to few cells, not once a group."""
+    rng, kept = random.Random(13), {}
+    base = words(rng, 400)
+    rows = [(i, near(rng, base, 12), "a") for i in range(60)]
+    real = ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, tag: kept.setdefault(tag, real(df, tag)))
+    got = sorted(tuple(r) for r in ngram_join.near_copies(table(spark, rows)).collect())
+    assert got == classes_by_brute_force(rows)
+    in_groups = sum(len(r.left) + len(r.right) for r in kept["ngram-groups"].collect())
+    assert kept["ngram-shipped"].count() * 3 < in_groups
+
+
 def test_counted_grams_of_many_and_few_pairs():
     rng = np.random.default_rng(8)
     pool = rng.integers(0, 1 << 48, 6000, dtype=np.uint64)
