@@ -361,6 +361,21 @@ def test_later_documents_of_large_meetings_meet(spark, hot, block):
     assert want == {(i + 1, i) for i in range(20, 100, 2)} and got == want
 
 
+def test_only_texts_of_large_meetings_travel_to_their_lists(spark, monkeypatch):
+    """Where the lists are not broadcast: the same rows, and texts that are in no large meeting stay where they are."""
+    rng, tags = random.Random(17), {}
+    shared = words(rng, 70)
+    rows = [(i, f"{words(rng, 30)} {near(rng, shared, i % 3)} {words(rng, 30)}", "a") for i in range(30)]
+    rows += [(100 + i, words(rng, 120), "a") for i in range(200)]
+    want = sorted(tuple(r) for r in substring_dedup.repeated_passages(table(spark, rows)).collect())
+    real, write = substring_dedup.broadcast_if_small, substring_dedup.materialise
+    monkeypatch.setattr(substring_dedup, "broadcast_if_small", lambda stored, row_bytes: real(stored, row_bytes, 600))
+    monkeypatch.setattr(substring_dedup, "materialise", lambda df, tag: tags.setdefault(tag, write(df, tag)))
+    got = sorted(tuple(r) for r in substring_dedup.repeated_passages(table(spark, rows)).collect())
+    assert want and got == want
+    assert {r.doc_id for r in tags["substring-asked"].collect()} <= set(range(30))
+
+
 def test_links_of_a_long_source_are_verified_in_blocks(spark, monkeypatch):
     rng = random.Random(26)
     passages = [words(rng, 60, 10**6) for _ in range(3)]
