@@ -6,7 +6,9 @@ from collections import Counter
 from math import log
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -441,6 +443,93 @@ def test_cutting_keeps_the_rest_as_it_is():
     assert substring_dedup.cut_words("a b", [(0, 2)]) == ""
 
 
+def test_classes_and_words_of_repeated_passages_are_whole(spark):
+    """A row for what later documents need only, but every word of a passage and every class; rows grow with the documents, not their pairs."""
+    rng = random.Random(31)
+    shared, other = words(rng, 80, 10**6), words(rng, 70, 10**6)
+    rows = [(i, f"{words(rng, 20)} {near(rng, shared, i % 5)} {words(rng, 25)} {other if i % 6 == 0 else ''}", "a") for i in range(10, 50)]
+    rows += [(60, f"{words(rng, 40)} {other}", "a")]  # connected through one of its passages only
+    bridge = words(rng, 75, 10**6)
+    rows += [(1, f"{bridge} {words(rng, 30)}", "a"), (5, f"{words(rng, 60, 10**6)} {shared}", "a"), (70, f"{bridge} {shared}", "a")]  # 5 repeats nothing
+    rows += [(i, words(rng, 120, 10**6), "a") for i in range(100, 110)]
+    docs = table(spark, rows)
+    every, found = substring_dedup.repeated_passages(docs).collect(), substring_dedup.repeated_words(docs).collect()
+
+    def covered(rows):
+        out = {}
+        for r in rows:
+            if r.start_word is not None:
+                out.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        return out
+
+    label = {i: i for i, _, _ in rows}
+    for _ in rows:
+        for r in every:
+            label[r.doc_id] = label[r.source_id] = min(label[r.doc_id], label[r.source_id])
+    assert covered(found) == covered(every)
+    assert {(r.doc_id, r.class_id) for r in found} == {(i, c) for i, c in label.items() if i != c} and label[5] == 1
+    assert [tuple(r)[2:] for r in found if r.doc_id == 5] == [(None,) * 6]
+    assert len(found) <= 2 * len(rows) < len(every)
+
+
+def test_links_between_parts_have_rows_where_words_are_covered():
+    """The second source of the same words is left out only where others of the block connect it."""
+    text = " ".join(f"w{k}" for k in range(80))
+    packed = zstandard.ZstdCompressor().compress(text.encode())
+    none, some = {"sources": None, "counts": None, "starts": None, "ends": None}, {"sources": [1, 2], "counts": [1, 1], "starts": [0, 0], "ends": [76, 76]}
+    rows = [{"is_doc": 0, "id": i, "fp": 7, "packed": packed} | none for i in (1, 2)]
+    for i in (3, 4):
+        rows += [{"is_doc": 1, "id": i, "fp": None, "packed": None} | some, {"is_doc": 1, "id": i, "fp": 7, "packed": packed} | none]
+    kinds = pa.schema([("root", pa.int64()), ("block", pa.int64()), ("is_doc", pa.int32()), ("id", pa.int64()), ("fp", pa.int64()), ("packed", pa.binary()), ("sources", pa.list_(pa.int64())), *((c, pa.list_(pa.int32())) for c in ("counts", "starts", "ends"))])
+    batch = pa.RecordBatch.from_pylist([{"root": 1, "block": 0} | r for r in rows], kinds)
+    found = lambda **k: [(r["doc_id"], r["source_id"], r["start_word"]) for b in substring_dedup._verify(iter([batch]), **k) for r in b.to_pylist()]
+    assert found(spans=True, classes=True) == [(3, 1, 0), (3, 2, None), (4, 1, 0)]
+    assert found(spans=True) == [(3, 1, 0), (4, 1, 0)]
+    assert found() == [(3, 1, 0), (3, 2, 0), (4, 1, 0), (4, 2, 0)]
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 7), st.integers(0, 30), st.integers(0, 9)), max_size=25))
+def test_covered_stretches_match_counting(windows):
+    pair, f, l, size = (np.array(x, np.int64) for x in (zip(*windows, strict=True) if windows else [()] * 4))
+    got = {(p, k) for p, s, e in zip(*(x.tolist() for x in substring_dedup.covered_stretches(pair, substring_dedup.placed(f, l, l + size))), strict=True) for k in range(s, e)}
+    at = {(p, k): {w[1] for w in windows if w[0] == p and w[2] <= k <= w[2] + w[3]} for p in range(3) for k in range(40)}
+    assert got == {x for x, fs in at.items() if len(fs) >= substring_dedup.ENOUGH or substring_dedup.EXACT in fs}
+
+
+def test_verifying_holds_few_of_many_sources(monkeypatch):
+    """Sources are read when a document needs them, some at a time: not all of a block's at once."""
+    rng = random.Random(32)
+    texts = [words(rng, 4000, 10**6) for _ in range(60)]
+    pack = zstandard.ZstdCompressor().compress
+    monkeypatch.setattr(substring_dedup, "HELD_WORDS", 20_000)
+    sources = substring_dedup.Sources()
+    for i, text in enumerate(texts):
+        sources.add(i, 1, pack(text.encode()))
+    want = substring_dedup.shingle_hashes(substring_dedup.token_hashes(texts[7]), substring_dedup.SHINGLE)
+    tracemalloc.start()
+    for i in range(60):
+        assert len(next(sources.of(i)).values) == 3996
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6 and (next(sources.of(7)).shingles == want).all()
+
+
+def test_firsts_that_all_meet_come_block_by_block():
+    """Of n firsts that share enough, the n (n - 1) / 2 pairs are not held at once."""
+    rng, n = np.random.default_rng(3), 3000
+    same = rng.integers(1, 1 << 32, 60).astype(np.uint32)
+    contexts = []
+    for k in range(n):
+        c = same.copy()
+        c[rng.choice(60, 20, replace=False)] = rng.integers(1, 200, 20)
+        contexts.append(c.tobytes())
+    seen = most = 0
+    for later, earlier in substring_dedup.met_by_words(np.arange(n), np.full(n, 30), contexts):
+        seen, most = seen + len(later), max(most, len(later))
+        assert (later > earlier).all() and (np.diff(later) >= 0).all()
+    assert seen > 0.9 * n * (n - 1) / 2 and most <= substring_dedup.BLOCK_FIRSTS**2
+
+
 # -- 4 toxicity
 
 
