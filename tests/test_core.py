@@ -1,5 +1,6 @@
 """Hand-computed values, metamorphic checks and end-to-end runs of the retrieval engine."""
 
+import hashlib
 import math
 import random
 
@@ -382,3 +383,20 @@ def test_queries_match_their_sql(spark, name):
     want = con.sql(queries.ORACLES[name]).df()[got.columns]
     key = lambda rows: sorted(tuple(round(float(x), 5) if isinstance(x, (float, int)) and not isinstance(x, bool) else str(x) for x in r) for r in rows)
     assert key(got.collect()) == key(want.itertuples(index=False))
+
+
+def test_bootstrap_draws_are_no_rows(spark, monkeypatch, capsys):
+    known = [None if k == 4 else float(k * k % 7) for k in range(23)]
+    values = spark.createDataFrame(list(enumerate(known)), "k int, v double").repartition(3)
+    drawn = [[known[int(hashlib.sha256(f"0:{b}:{j}".encode()).hexdigest()[:8], 16) % 23] for j in range(23)] for b in range(50)]
+    means = [math.fsum(v for v in d if v is not None) / sum(v is not None for v in d) for d in drawn]
+    want = [stats.percentile(means, p) for p in (0.025, 0.975)]
+    packed = stats.hash_bootstrap(values, "v", "k", resamples=50)
+    assert list(packed.first()) == pytest.approx(want)
+    packed.explain()
+    assert "Generate" not in capsys.readouterr().out  # no row for a draw
+    monkeypatch.setattr(stats, "BLOCK_VALUES", 7)
+    assert list(stats.hash_bootstrap(values, "v", "k", resamples=50).first()) == pytest.approx(want)
+    monkeypatch.setattr(stats, "BROADCAST_BYTES", 0)
+    assert list(stats.hash_bootstrap(values, "v", "k", resamples=50).first()) == pytest.approx(want)
+    assert list(stats.hash_bootstrap(values.limit(0), "v", "k", resamples=50).first()) == [None, None]
