@@ -80,8 +80,7 @@ class LocalAdapter(Adapter):
         chunks = self._rows(collection).select(F.col("id").alias("chunk_id"), "vector")
         if top_k <= 0 or not self.noise:
             return retrieve.dense_topk(queries, chunks, max(top_k, 1)).where(F.lit(top_k > 0))
-        noisy = retrieve.hash_noise(retrieve.dense_scores(queries, chunks), self.noise, self.seed, collection)
-        return retrieve.top(noisy, top_k, F.asc("chunk_id"))
+        return retrieve.noisy_topk(queries, chunks, top_k, self.noise, self.seed, collection)
 
     def count(self, collection: str) -> int:
         return self._rows(collection).count()

@@ -400,3 +400,14 @@ def test_bootstrap_draws_are_no_rows(spark, monkeypatch, capsys):
     monkeypatch.setattr(stats, "BROADCAST_BYTES", 0)
     assert list(stats.hash_bootstrap(values, "v", "k", resamples=50).first()) == pytest.approx(want)
     assert list(stats.hash_bootstrap(values.limit(0), "v", "k", resamples=50).first()) == [None, None]
+
+
+def test_noise_is_hashed_only_where_it_can_matter(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(150)] + [(150, [0.0] * 8)] * 30
+    chunks = spark.createDataFrame([(k if v[0] else k + n, v) for n, (k, v) in enumerate(rows)], "chunk_id bigint, vector array<double>").repartition(3)
+    qs = chunks.where("chunk_id % 9 = 0").withColumnRenamed("chunk_id", "query_id")
+    rank = lambda df: {(r.query_id, r.chunk_id): (r["rank"], r.score) for r in df.collect()}
+    for sigma in (0.05, -0.4, 0.0):
+        want = retrieve.top(retrieve.hash_noise(retrieve.dense_scores(qs, chunks), sigma, 7, "c"), 3, F.asc("chunk_id"), digits=6)
+        assert rank(retrieve.noisy_topk(qs, chunks, 3, sigma, 7, "c", 6)) == rank(want)
