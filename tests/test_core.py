@@ -411,3 +411,17 @@ def test_noise_is_hashed_only_where_it_can_matter(spark):
     for sigma in (0.05, -0.4, 0.0):
         want = retrieve.top(retrieve.hash_noise(retrieve.dense_scores(qs, chunks), sigma, 7, "c"), 3, F.asc("chunk_id"), digits=6)
         assert rank(retrieve.noisy_topk(qs, chunks, 3, sigma, 7, "c", 6)) == rank(want)
+
+
+def test_tasks_keep_few_neighbours_of_a_query(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"c{k:03d}", rng.integers(-1, 2, 4).astype(float).tolist()) for k in range(300)] + [("none", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, vector array<float>").repartition(2)
+    qs = chunks.withColumnRenamed("chunk_id", "query_id")
+    want = retrieve.top(retrieve.dense_scores_sql(qs.where("vector is not null"), chunks.where("vector is not null")), 5, F.asc("chunk_id"), digits=6)
+    pairs = lambda df: {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in df.collect()}
+    for name, value in (("BLOCK_ROWS", 32), ("TASK_BLOCKS", 4), ("LEAST_TASKS", 1), ("BROADCAST_BYTES", 0)):
+        monkeypatch.setattr(retrieve, name, value)
+    assert pairs(retrieve.dense_topk(qs, chunks, 5, 6)) == pairs(want)
+    monkeypatch.setattr(retrieve, "top", lambda scored, *_, **__: scored)
+    assert retrieve.dense_topk(qs, chunks, 5, 6).count() <= 300 * 5 * 3  # 3 parts of chunks, though there are 10 blocks of them and many ties
