@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,46 @@ def ascii_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+#: Finds a character beyond Latin Extended-A, or one that is two in lower case: such texts are left to the JVM's tables.
+_BEYOND = r"[^\x{0}-\x{12F}\x{131}-\x{17F}]"
+_LATIN = np.array([chr(c).isalnum() for c in range(0x180)])
+
+
+def packed_words(text: Column, words: Callable[[Column], Column]) -> tuple[Column, Column]:
+    """(text, words): the text itself where it is Latin, for latin_words, else its words."""
+    beyond = text.rlike(_BEYOND)
+    return F.when(~beyond, text).alias("text"), F.when(beyond, words(text)).alias("tokens")
+
+
+def latin_words(texts: pa.Array, ascii_only: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """terms, or ascii_words, of Latin texts: how many each has, all of them, and the row of each; some may be empty strings, which do not count."""
+    texts = pc.utf8_lower(texts.fill_null(""))
+    texts = pa.concat_arrays([texts]) if texts.offset else texts
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: offsets[-1]].copy()
+    ok = raw >= 0x80
+    if ascii_only:
+        ok[:] = False
+    else:
+        lead = np.flatnonzero(raw >= 0xC0)
+        other = lead[~_LATIN[(raw[lead] & 31).astype(np.int64) << 6 | raw[lead + 1] & 63]]
+        ok[other] = ok[other + 1] = False
+    ok |= (_LATIN[:128])[np.minimum(raw, 127)] & (raw < 128)
+    raw[~ok] = 32
+    words = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(raw)))
+    flat, row = words.flatten(), np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy())
+    return np.bincount(row[pc.not_equal(flat, "").to_numpy(zero_copy_only=False)], minlength=len(texts)), flat, row
+
+
+def words_of(texts: pa.Array, tokens: pa.Array, ascii_only: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """latin_words of rows of packed_words."""
+    size, flat, row = latin_words(texts, ascii_only)
+    if tokens.null_count < len(tokens):
+        n = tokens.value_lengths().fill_null(0).to_numpy()
+        size, flat, row = size + n, pa.concat_arrays((flat, tokens.flatten())), np.concatenate((row, np.repeat(np.arange(len(n)), n)))
+    return size, flat, row
+
+
 def collapse(text: Column) -> Column:
     """Lower case, white space runs to one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), SPACE + "+", " "))
@@ -83,6 +125,8 @@ def sentences(text: Column) -> Column:
 # -- chunk spans -----------------------------------------------------------------------------
 
 Span = tuple[int, int]
+#: Chunks that a task gathers before it gives them on.
+CHUNK_ROWS = 4096
 _TOKEN = re.compile(r"\S+")
 _HEADING = re.compile(r"^#{1,6}(?=[\t ]|$)", re.MULTILINE)
 
@@ -148,14 +192,27 @@ def chunk(docs: DataFrame, tool: str, params: dict, doc: str = "doc_id", text: s
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, ordinal, start, end, body = [], [], [], [], []
-            for row, t in enumerate(b.column(1).to_pylist()):
-                for n, (s, e) in enumerate(cut(t, **known) if t else ()):
-                    at.append(row)
-                    ordinal.append(n)
-                    start.append(s)
-                    end.append(e)
-                    body.append(t[s:e])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, pa.int64()) for x in (ordinal, start, end)), pa.array(body, pa.string())], [doc, "ordinal", "span_start", "span_end", "text"])
+
+            def cut_rows(b=b):
+                out = pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, pa.int64()) for x in (ordinal, start, end)), pa.array(body, pa.string())], [doc, "ordinal", "span_start", "span_end", "text"])
+                for x in (at, ordinal, start, end, body):
+                    x.clear()
+                return out
+
+            for row in range(b.num_rows):  # one text at a time, and few chunks, are Python objects
+                t = b.column(1)[row].as_py()
+                spans = cut(t, **known) if t else []
+                for s in range(0, len(spans), CHUNK_ROWS):
+                    part = spans[s : s + CHUNK_ROWS]
+                    at += [row] * len(part)
+                    ordinal += range(s, s + len(part))
+                    start += [x for x, _ in part]
+                    end += [y for _, y in part]
+                    body += [t[x:y] for x, y in part]
+                    if len(at) >= CHUNK_ROWS:
+                        yield cut_rows()
+            if at:
+                yield cut_rows()
 
     kind = docs.schema[doc].dataType.simpleString()
     cut_rows = docs.select(doc, text).mapInArrow(cut_all, f"`{doc}` {kind}, ordinal bigint, span_start bigint, span_end bigint, text string")

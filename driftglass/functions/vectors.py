@@ -5,13 +5,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftglass import ids
+from driftglass.functions.text import ascii_words, packed_words, words_of
+
+#: Texts that are hashed at once, and words whose places a task remembers.
+SLICE_ROWS, KNOWN_WORDS = 512, 200_000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -87,14 +95,33 @@ class HashEmbedder:
 
 
 def sha_embedding(texts: DataFrame, key: str, dims: int) -> DataFrame:
-    """(key, vector): the same hashing with SHA-256 places, in built-in expressions only; single words."""
-    from driftglass.functions.text import ascii_words
-
-    words = texts.select(key, F.explode(ascii_words(F.col("text"))).alias("w"))
-    value = F.conv(F.substring(F.sha2("w", 256), 1, 8), 16, 10).cast("bigint")
-    placed = words.select(key, (F.shiftright(value, 1) % dims).alias("at"), F.when(value % 2 == 1, 1).otherwise(-1).alias("sign"))
-    summed = placed.groupBy(key, "at").agg(F.sum("sign").alias("v"))
-    size = F.sqrt(F.sum(F.col("v") * F.col("v"))).cast("double")
-    per = summed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"), size.alias("n"))
-    length = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.col("n"))
-    return per.select(key, F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double") / length).alias("vector"))
+    """(key, vector): the same hashing with SHA-256 places; single words. Rows with the same key are one text; one without words has no row."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for s in range(0, batch.num_rows, SLICE_ROWS):
+                b = batch.slice(s, SLICE_ROWS)
+                size, words, row = words_of(b.column(1), b.column(2), ascii_only=True)
+                words = words.dictionary_encode()
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                for w in words.dictionary.to_pylist():
+                    if w not in known:  # an empty string is no word
+                        known[w] = int.from_bytes(hashlib.sha256(w.encode()).digest()[:4], "big") if w else -1
+                value = np.array([known[w] for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
+                cell, sign = row * dims + (value >> 1) % dims, np.where(value & 1, 1.0, -1.0)
+                m = np.bincount(cell[value >= 0], sign[value >= 0], b.num_rows * dims).reshape(-1, dims)[size > 0]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * dims, pa.int32()), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(size > 0)), lists], [key, "m"])
+
+    placed = lambda df: df.select(key, *packed_words(F.col("text"), ascii_words)).mapInArrow(place, f"`{key}` {kind}, m array<double>")
+    single, again = ids.apart(texts.select(key, "text"), key)
+    rows = placed(single)
+    if again is not None:
+        cells = placed(again).select(key, F.posexplode("m").alias("at", "v")).groupBy(key, "at").agg(F.sum("v").alias("v"))
+        lists = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("m"))
+        rows = rows.unionByName(lists.select(key, F.transform("m", lambda x: x["v"]).alias("m")))
+    size = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x))
+    return rows.withColumn("n", F.when(size == 0, F.lit(1.0)).otherwise(size)).select(key, F.transform("m", lambda x: x / F.col("n")).alias("vector"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import operator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATOR = "\x1f"
@@ -94,3 +96,14 @@ def corpus_root_col(path: Column, doc: Column) -> Column:
         if any(c in "abcdef" for c in f"{code:x}"):
             body = F.replace(body, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
     return _hashed("mr_", body)
+
+
+def apart(df: DataFrame, *keys: str, row_bytes: int = 64, limit: int = 16 << 20) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose keys no other row has, and the rest; None where there is no rest. Only keys are shuffled to tell."""
+    again = df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*(F.col(k).alias(f"__{k}") for k in keys))
+    n = again.count()
+    if not n:
+        return df, None
+    again = F.broadcast(again) if n * row_bytes <= limit else again
+    same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return df.join(again, same, "left_anti"), df.join(again, same, "left_semi")

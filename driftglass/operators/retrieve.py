@@ -6,6 +6,7 @@ Candidate tables are long: (query_id, chunk_id, score, rank), rank from 1.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftglass.functions.text import terms
+from driftglass import ids
+from driftglass.functions.text import packed_words, terms, words_of
 
 #: Rows of a block of vectors: bounds the memory of one block product.
 BLOCK_ROWS = 2048
@@ -23,6 +25,10 @@ BLOCK_ROWS = 2048
 TASK_BLOCKS, LEAST_TASKS, HELD_BLOCKS = 64, 64, 32
 #: Rows that a task handles or gives at once.
 OUT_ROWS = 1 << 17
+#: Chunks that are scored at once, and scores that one step adds up.
+PART_ROWS, PART_CELLS = 512, 1 << 21
+#: Scores by words are whole numbers of so many to 1.
+UNITS = 1e12
 #: A side is broadcast only below this measured size.
 BROADCAST_BYTES = 16 << 20
 
@@ -39,9 +45,70 @@ def top(scored: DataFrame, limit: int | None, *order: Column, digits: int | None
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A broadcast hint where the counted rows are small enough, else the table as it is."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+class _Passages:
+    """Passages, found in texts by four bytes of each that few other passages have."""
+
+    def __init__(self, passages: list[bytes]):
+        self.short = [k for k, p in enumerate(passages) if len(p) < 4]
+        self.passages = passages
+        grams = Counter(p[i : i + 4] for p in passages for i in range(len(p) - 3))
+        at = {k: min(range(len(p) - 3), key=lambda i, p=p: grams[p[i : i + 4]]) for k, p in enumerate(passages) if len(p) >= 4}
+        key = np.array([int.from_bytes(passages[k][i : i + 4], "little") for k, i in at.items()], np.uint32)
+        order = np.argsort(key, kind="stable")
+        self.key, self.number, self.place = key[order], np.array([*at], np.int64)[order], np.array([*at.values()], np.int64)[order]
+        self.size = np.array([len(p) for p in passages], np.int64)
+        ends = lambda cut: np.array([int.from_bytes(cut(p), "little") for p in passages], np.uint32)
+        self.head, self.tail = ends(lambda p: p[:4]), ends(lambda p: p[-4:])
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self._slot(self.key)] = True
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return key * np.uint32(2654435769) >> np.uint32(16)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, passage) of the texts that contain passages."""
+        texts = pa.concat_arrays([texts]) if texts.offset else texts
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+        known = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+        rows, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if len(raw) >= 4 and len(self.key):
+            four = np.ndarray((len(raw) - 3,), "<u4", raw, strides=(1,))
+            at = np.flatnonzero(self.maybe[self._slot(four)])
+            low, high = np.searchsorted(self.key, four[at], "left"), np.searchsorted(self.key, four[at], "right")
+            k = np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange((high - low).sum())
+            passage, start = self.number[k], np.repeat(at, high - low) - self.place[k]
+            row = np.searchsorted(offsets, start, "right") - 1
+            ok = (start >= 0) & (start + self.size[passage] <= offsets[np.minimum(row + 1, len(offsets) - 1)])
+            passage, start, row = passage[ok], start[ok], row[ok]
+            ok = (four[start] == self.head[passage]) & (four[start + self.size[passage] - 4] == self.tail[passage])
+            passage, start, row = passage[ok], start[ok], row[ok]
+            ok = np.array([raw[s : s + n].tobytes() == self.passages[p] for s, n, p in zip(start.tolist(), self.size[passage].tolist(), passage.tolist(), strict=True)], bool)
+            rows.append(row[ok])
+            found.append(passage[ok])
+        for p in self.short:
+            has = [r for r in known.tolist() if self.passages[p] in raw[offsets[r] : offsets[r + 1]].tobytes()]
+            rows.append(np.array(has, np.int64))
+            found.append(np.full(len(has), p, np.int64))
+        both = np.unique(np.concatenate(rows) * max(1, len(self.passages)) + np.concatenate(found))
+        return np.divmod(both, max(1, len(self.passages)))
+
+
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of docs (doc_id, text) that contain passages (query_id, passage). Few passages go to the documents, which are read once."""
+    if passages.count() * 1000 > BROADCAST_BYTES:
+        return docs.join(passages, F.contains("text", "passage")).select("query_id", "doc_id")
+    asked = passages.where("passage is not null").select("query_id", "passage").toArrow().combine_chunks()
+    query, known = pa.concat_arrays(asked.column(0).chunks) if asked.num_rows else pa.array([], asked.schema.field(0).type), _Passages([p.encode() for p in asked.column(1).to_pylist()])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, PART_ROWS):
+            row, passage = known.of(b.column(1))
+            yield pa.RecordBatch.from_arrays([query.take(pa.array(passage)), b.column(0).take(pa.array(row))], ["query_id", "doc_id"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(find, f"query_id {kind(passages, 'query_id')}, doc_id {kind(docs, 'doc_id')}")
 
 
 # -- dense -----------------------------------------------------------------------------------
@@ -127,37 +194,47 @@ def dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 class _Best:
-    """The depth best candidates of each query of a block, of the chunks seen so far; ties by chunk_id.
+    """The depth best candidates of each query, of the chunks seen so far, first in order of tie among equals.
 
-    below holds what no candidate of a query can be under and still come in: score is what candidates are
-    ordered by, told what is kept of them. Scores that are equal in so many digits are ties.
+    below holds what no candidate of a query can be under and still come in; score is what candidates are
+    ordered by, told what is given of them. Those within near of the last of the best are kept too, where
+    scores are rounded later.
     """
 
-    def __init__(self, ids: pa.Array, depth: int, digits: int | None):
-        self.ids, self.depth, self.digits = ids, depth, digits
-        self.slack = 1e-9 if digits is None else 10.0**-digits
+    def __init__(self, ids: pa.Array, depth: int, digits: int | None, rounded: bool = False):
+        self.ids, self.depth = ids, depth
+        self.slack = 1e-9 if digits is None else 1.01 * 10.0**-digits
+        self.near = 0.0 if rounded else self.slack
         self.below = np.full(len(ids), -np.inf)
-        self.row, self.score, self.told, self.chunk = np.empty(0, np.int64), np.empty(0), np.empty(0), None
+        self.row, self.score, self.told, self.chunk, self.tie = np.empty(0, np.int64), np.empty(0), np.empty(0), None, None
+        self.full = 2 * depth * len(ids)
 
-    def add(self, row: np.ndarray, score: np.ndarray, told: np.ndarray, chunk: pa.Array) -> None:
+    def add(self, row: np.ndarray, score: np.ndarray, told: np.ndarray, chunk: pa.Array, tie: pa.Array | None = None) -> None:
+        if not len(row):
+            return
         self.row, self.score, self.told = np.concatenate((self.row, row)), np.concatenate((self.score, score)), np.concatenate((self.told, told))
+        self.tie = tie if self.tie is None or tie is None else pa.concat_arrays((self.tie, tie))
         self.chunk = chunk if self.chunk is None else pa.concat_arrays((self.chunk, chunk))
-        if len(self.row) > 2 * self.depth * len(self.ids):
+        if len(self.row) > self.full:
             self.prune()
+            self.full = max(self.full, 2 * len(self.row))
 
     def prune(self) -> None:
         if not len(self.row):
             return
-        score = self.score if self.digits is None else np.round(self.score, self.digits)
         place = np.empty(len(self.row), np.int64)
-        place[pc.array_sort_indices(self.chunk, null_placement="at_start").to_numpy()] = np.arange(len(self.row))
-        order = np.lexsort((place, -score, self.row))
-        start = np.searchsorted(self.row[order], np.arange(len(self.ids)))
-        rank = np.arange(len(order)) - start[self.row[order]]
-        last = order[rank == self.depth - 1]
-        self.below[self.row[last]] = score[last] - self.slack
-        keep = np.sort(order[rank < self.depth])
+        place[pc.array_sort_indices(self.chunk if self.tie is None else self.tie, null_placement="at_start").to_numpy()] = np.arange(len(self.row))
+        order = np.lexsort((place, -self.score, self.row))
+        row, score, at = self.row[order], self.score[order], np.arange(len(order))
+        rank = at - np.searchsorted(row, np.arange(len(self.ids)))[row]
+        new = np.concatenate(([True], (row[1:] != row[:-1]) | (score[1:] != score[:-1])))
+        equal = at - np.maximum.accumulate(np.where(new, at, 0))  # place among equals
+        least, last = np.full(len(self.ids), -np.inf), rank == self.depth - 1
+        least[row[last]] = score[last]
+        self.below = np.maximum(self.below, least - self.slack)
+        keep = np.sort(order[(rank < self.depth) | ((score >= least[row] - self.near) & (equal < self.depth) & (self.near > 0))])
         self.row, self.score, self.told, self.chunk = self.row[keep], self.score[keep], self.told[keep], self.chunk.take(pa.array(keep))
+        self.tie = None if self.tie is None else self.tie.take(pa.array(keep))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         self.prune()
@@ -165,7 +242,7 @@ class _Best:
             yield from _scored(self.ids.take(pa.array(self.row)), self.chunk, self.told)
 
 
-def _best(queries: DataFrame, chunks: DataFrame, depth: int, digits: int | None, consider) -> DataFrame:
+def _best(queries: DataFrame, chunks: DataFrame, depth: int, digits: int | None, consider, rounded: bool = False) -> DataFrame:
     """The depth best of each query in each task; consider(best, ids, rough, error, exact) adds those of a block that may be among them.
 
     rough are cosines in single precision, off by error at most; exact gives those of rows and columns.
@@ -177,7 +254,7 @@ def _best(queries: DataFrame, chunks: DataFrame, depth: int, digits: int | None,
             if block not in held:
                 if len(held) >= HELD_BLOCKS:
                     yield from held.pop(next(iter(held)))[0].rows()
-                held[block] = _Best(q_ids, depth, digits), mine.astype(np.float32)
+                held[block] = _Best(q_ids, depth, digits, rounded), mine.astype(np.float32)
             exact = lambda row, col: np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", mine[row[s : s + OUT_ROWS]], other[col[s : s + OUT_ROWS]]) for s in range(0, len(row), OUT_ROWS))])  # noqa: B023, E731
             consider(held[block][0], c_ids, held[block][1] @ other.astype(np.float32).T, (mine.shape[1] + 8) * 1.2e-7, exact)
         for best, _ in held.values():
@@ -201,7 +278,7 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, depth: int | None, digits:
             told = np.round(told, digits) + 0.0
         best.add(row, told, told, ids.take(pa.array(col)))
 
-    return top(_best(queries, chunks, depth, digits, consider), depth, F.asc("chunk_id"))
+    return top(_best(queries, chunks, depth, digits, consider, rounded=True), depth, F.asc("chunk_id"))
 
 
 def noisy_topk(queries: DataFrame, chunks: DataFrame, depth: int, sigma: float, seed: int, collection: str, digits: int | None = None) -> DataFrame:
@@ -275,7 +352,12 @@ class Bm25:
 
     def __init__(self, chunks: DataFrame, k1: float = 1.5, b: float = 0.75):
         self.k1, self.b = k1, b
-        self.tokens = chunks.select("chunk_id", "chunk_seq", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+        self.chunks = chunks.select("chunk_id", "chunk_seq", "text")
+        self.tokens = self.tokenised(self.chunks)
+
+    @staticmethod
+    def tokenised(chunks: DataFrame) -> DataFrame:
+        return chunks.select("chunk_id", "chunk_seq", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
 
     def corpus(self) -> DataFrame:
         """One row: the number of chunks and their mean length."""
@@ -297,28 +379,151 @@ class Bm25:
     def idf(n: Column, df: Column) -> Column:
         return F.when(df > 0, F.log((n - df + 0.5) / (df + 0.5) + 1)).otherwise(F.lit(0.0))
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """(query_id, chunk_id, chunk_seq, score) of chunks sharing a term; repeated query words count again.
+    @staticmethod
+    def words(queries: DataFrame) -> DataFrame:
+        """(query_id, term, qtf): repeated query words count again."""
+        return queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
-        Postings of the queries' words are shuffled once, by chunk; document frequencies are counted
-        before they are shuffled, so a frequent word is no hot key, and scores add up where they are.
-        """
-        words = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        hint = F.broadcast if words.count() * 64 <= BROADCAST_BYTES else lambda df: df
-        rows = self.tokens.select("chunk_id", "chunk_seq", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(hint(words.select("term").distinct()), "term", "left_semi")
-        tf = rows.repartition("chunk_id").groupBy("chunk_id", "chunk_seq", "dl", "term").agg(F.count("*").alias("tf"))
-        weights = words.join(self.document_frequency(tf), "term").crossJoin(F.broadcast(self.corpus()))  # one row
-        weights = weights.select("query_id", "term", "qtf", "avgdl", self.idf(F.col("n"), F.col("df")).alias("idf"))
-        scored = tf.join(hint(weights), "term")
+    @staticmethod
+    def postings(tokens: DataFrame, hinted: DataFrame) -> DataFrame:
+        """(chunk_id, chunk_seq, dl, term, tf) of hinted terms, shuffled once, by chunk, so a frequent word is no hot key."""
+        rows = tokens.select("chunk_id", "chunk_seq", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(hinted, "term", "left_semi")
+        return rows.repartition("chunk_id").groupBy("chunk_id", "chunk_seq", "dl", "term").agg(F.count("*").alias("tf"))
+
+    def summed(self, tf: DataFrame, weights: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, chunk_seq, score) of postings and weights (query_id, term, qtf, avgdl, idf); scores add up where postings are."""
         f = F.col("tf")
         part = F.col("idf") * f * (self.k1 + 1) / (f + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
         # whole units of 1e-12 add up exactly, so no order of partial sums can change a score or a tie
-        exact = F.sum(F.round(F.col("qtf") * part * 1e12).cast("bigint"))
-        grouped = scored.groupBy("query_id", "chunk_id", "chunk_seq").agg((exact / F.lit(1e12)).alias("score"))
+        exact = F.sum(F.round(F.col("qtf") * part * UNITS).cast("bigint"))
+        grouped = tf.join(weights, "term").groupBy("query_id", "chunk_id", "chunk_seq").agg((exact / F.lit(UNITS)).alias("score"))
         return grouped.where("score > 0")
 
+    def scores(self, queries: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, chunk_seq, score) of chunks sharing a term; repeated query words count again."""
+        words = self.words(queries)
+        hint = F.broadcast if words.count() * 64 <= BROADCAST_BYTES else lambda df: df
+        tf = self.postings(self.tokens, hint(words.select("term").distinct()))
+        weights = words.join(self.document_frequency(tf), "term").crossJoin(F.broadcast(self.corpus()))  # one row
+        weights = weights.select("query_id", "term", "qtf", "avgdl", self.idf(F.col("n"), F.col("df")).alias("idf"))
+        return self.summed(tf, hint(weights))
+
     def topk(self, queries: DataFrame, depth: int | None, digits: int | None = None) -> DataFrame:
-        return top(self.scores(queries), depth, F.asc("chunk_seq"), digits=digits).select("query_id", "chunk_id", "score", "rank")
+        scored = self.scores(queries) if depth is None else self.best(queries, depth, digits)
+        return top(scored, depth, F.asc("chunk_seq"), digits=digits).select("query_id", "chunk_id", "score", "rank")
+
+    def best(self, queries: DataFrame, depth: int, digits: int | None = None) -> DataFrame:
+        """scores of the depth best of each query in each task, and of some more.
+
+        Where the queries' words are few they go to the chunks: a chunk is scored for all queries at once
+        and forgotten, so that no task holds a row for each query and chunk. Rows that share their chunk_id
+        and chunk_seq meet in a shuffle, as all do where words are many.
+        """
+        words = self.words(queries)
+        if depth <= 0 or words.count() * 64 > BROADCAST_BYTES:
+            return self.scores(queries)
+        single, again = ids.apart(self.chunks, "chunk_id", "chunk_seq")
+        packed = packed_words(F.col("text"), terms)
+        known = words.toArrow()
+        vocabulary = pc.unique(known.column("term"))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            df, n, length = np.zeros(len(vocabulary), np.int64), 0, 0
+            for b in _parts(batches, PART_ROWS):
+                dl, _, term, _ = _found(b.column(0), b.column(1), vocabulary)
+                df += np.bincount(term, minlength=len(df))
+                n, length = n + b.num_rows, length + int(dl.sum())
+            yield pa.RecordBatch.from_pydict({"term": pa.array([*range(len(df)), -1, -2], pa.int64()), "n": pa.array([*df.tolist(), n, length], pa.int64())})
+
+        counted = single.select(*packed).mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+        sums = {r.term: r.n for r in counted.collect()}
+        df = {t: sums.get(k, 0) for k, t in enumerate(vocabulary.to_pylist())}
+        n, length = sums.get(-1, 0), sums.get(-2, 0)
+        spark = queries.sparkSession
+        if again is not None:
+            again = self.tokenised(again)
+            tf = self.postings(again, F.broadcast(words.select("term").distinct()))
+            for r in self.document_frequency(tf).collect():
+                df[r.term] += r.df
+            more = again.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+            n, length = n + more[0], length + more[1]
+        avgdl = length / n if length else 1.0
+        rows = [(q, t, f, n, df[t]) for q, t, f in zip(*(known.column(c).to_pylist() for c in ("query_id", "term", "qtf")), strict=True) if df[t]]
+        kind = queries.schema["query_id"].dataType.simpleString()
+        weights = spark.createDataFrame(rows, f"query_id {kind}, term string, qtf bigint, n bigint, df bigint")
+        weights = weights.select("query_id", "term", "qtf", F.lit(avgdl).alias("avgdl"), self.idf(F.col("n"), F.col("df")).alias("idf"))
+        mine = _Words(weights.toArrow(), vocabulary, self.k1, self.b, avgdl)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(mine.queries, depth, digits)
+            for b in _parts(batches, mine.rows):
+                total = mine.units(b.column(2), b.column(3))
+                row, col = np.divmod(np.flatnonzero((total > 0) & (total >= best.below * UNITS)), max(1, len(mine.queries)))
+                at = pa.array(row)
+                value = total[row, col] / UNITS
+                best.add(col, value, value, b.column(0).take(at), b.column(1).take(at))
+            best.prune()
+            for s in range(0, len(best.row), OUT_ROWS):
+                yield pa.RecordBatch.from_arrays([x[s : s + OUT_ROWS] for x in (mine.queries.take(pa.array(best.row)), best.chunk, best.tie, pa.array(best.told))], ["query_id", "chunk_id", "chunk_seq", "score"])
+
+        chunk, seq = (self.chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "chunk_seq"))
+        scored = single.select("chunk_id", "chunk_seq", *packed).mapInArrow(score, f"query_id {kind}, chunk_id {chunk}, chunk_seq {seq}, score double")
+        return scored if again is None else scored.unionByName(self.summed(tf, F.broadcast(weights)))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
+def _found(texts: pa.Array, tokens: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of words of texts, or of lists of tokens, and (row, term, times) of what of the vocabulary is in them."""
+    size, words, row = words_of(texts, tokens)
+    at = pc.index_in(words, value_set=vocabulary)
+    ok = at.is_valid().to_numpy(zero_copy_only=False)
+    code, times = np.unique(row[ok] * max(1, len(vocabulary)) + at.drop_null().to_numpy(), return_counts=True)
+    return size, *np.divmod(code, max(1, len(vocabulary))), times
+
+
+class _Words:
+    """The words of all queries by their place in the vocabulary, with their weights."""
+
+    def __init__(self, weights: pa.Table, vocabulary: pa.Array, k1: float, b: float, avgdl: float):
+        self.vocabulary, self.k1, self.b, self.avgdl = vocabulary, k1, b, avgdl
+        get = lambda c: weights.column(c).combine_chunks()
+        self.queries = pc.unique(get("query_id"))
+        term, query = pc.index_in(get("term"), value_set=vocabulary).to_numpy(), pc.index_in(get("query_id"), value_set=self.queries).to_numpy()
+        order = np.lexsort((query, term))
+        self.query, idf = query[order].astype(np.int64), get("idf").to_numpy()[order]
+        self.times, self.kind = np.unique(get("qtf").to_numpy()[order], return_inverse=True)
+        self.size = np.bincount(term, minlength=len(vocabulary))
+        self.start = np.cumsum(self.size) - self.size
+        self.idf = np.zeros(len(vocabulary))
+        self.idf[term[order]] = idf
+        self.rows = max(1, min(PART_ROWS, PART_CELLS // max(1, len(self.queries))))
+        # sums of whole numbers in double precision are exact below 2^53
+        most = np.bincount(self.query, self.times[self.kind] * idf * (k1 + 1) * UNITS + 1, len(self.queries)) if len(idf) else np.zeros(1)
+        self.exact = most.max() < 1 << 53
+
+    def units(self, texts: pa.Array, tokens: pa.Array) -> np.ndarray:
+        """Scores of each text for each query, in whole units."""
+        n = len(self.queries)
+        dl, row, term, tf = _found(texts, tokens, self.vocabulary)
+        total = np.zeros(len(texts) * n, np.int64)
+        cut = np.searchsorted(np.cumsum(self.size[term]), np.arange(PART_CELLS, int(self.size[term].sum()) + PART_CELLS, PART_CELLS))
+        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(term)], strict=True):
+            t, at, f = term[s:e], row[s:e], tf[s:e].astype(np.float64)
+            part = self.idf[t] * f * (self.k1 + 1) / (f + self.k1 * (1 - self.b + self.b * dl[at] / self.avgdl))
+            value = np.floor(self.times[:, None] * part * UNITS + 0.5)
+            k = np.repeat(np.arange(len(t)), self.size[t])
+            w = np.arange(len(k)) + np.repeat(self.start[t] - (np.cumsum(self.size[t]) - self.size[t]), self.size[t])
+            cell, value = at[k] * n + self.query[w], value[self.kind[w], k]
+            if self.exact:
+                total += np.bincount(cell, value, len(total)).astype(np.int64)
+            else:
+                np.add.at(total, cell, value.astype(np.int64))
+        return total.reshape(len(texts), n)
 
 
 # -- fusion and reranking ----------------------------------------------------------------------

@@ -425,7 +425,7 @@ def expected(t: Tables) -> DataFrame:
     """(query_id, source): documents that contain the passage. Passages are few; documents are read once."""
     passages = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = t.documents.select("doc_id", "text")
-    return t.keep("expected", lambda: docs.join(retrieve.small_side(passages, 1000), F.contains("text", "passage")).select("query_id", F.col("doc_id").cast("string").alias("source")))
+    return t.keep("expected", lambda: retrieve.containing(docs, passages).select("query_id", F.col("doc_id").cast("string").alias("source")))
 
 
 SQL_EXPECTED = "ex AS (SELECT item_id AS query_id, doc_id FROM benchmark b2 JOIN documents d2 ON contains(d2.text, b2.text))"

@@ -425,3 +425,74 @@ def test_tasks_keep_few_neighbours_of_a_query(spark, monkeypatch):
     assert pairs(retrieve.dense_topk(qs, chunks, 5, 6)) == pairs(want)
     monkeypatch.setattr(retrieve, "top", lambda scored, *_, **__: scored)
     assert retrieve.dense_topk(qs, chunks, 5, 6).count() <= 300 * 5 * 3  # 3 parts of chunks, though there are 10 blocks of them and many ties
+
+
+MIXED = ["Ça va, naïve Œuvre 42!", "один два ДВА Σοφός ΣΟΦΟΣ", "\u0130stanbul \u212a9 x", "", None, "one Two two three", "three_two-one ½ ²x", "two " * 30, "ſtraße ŉ ab12 12ab"]
+
+
+def _mixed(spark):
+    rows = [(k, k * 7 % 31, MIXED[k % len(MIXED)] and MIXED[k % len(MIXED)] + f" w{k % 5}") for k in range(40)] + [(3, 21, "two two other"), (3, 21, "two two other"), (3, 21, "two one"), (5, 4, "one")]
+    return spark.createDataFrame(rows, "chunk_id bigint, chunk_seq int, text string").repartition(3)
+
+
+def test_tasks_keep_few_chunks_of_a_query_by_words(spark, monkeypatch):
+    chunks = _mixed(spark)
+    qs = spark.createDataFrame([("a", "two Two one"), ("b", "ДВА σοφός œuvre"), ("c", "i\u0307stanbul k9 9 ½ ²x straße ſtraße"), ("d", None), ("e", "w1 w2 none")], "query_id string, text string")
+    index = retrieve.Bm25(chunks)
+    want = retrieve.top(index.scores(qs), 4, F.asc("chunk_seq"), digits=6)
+    got = lambda df: {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in df.collect()}
+    assert got(index.topk(qs, 4, 6)) == got(want)
+    monkeypatch.setattr(retrieve, "PART_ROWS", 2)
+    monkeypatch.setattr(retrieve, "PART_CELLS", 8)
+    assert got(index.topk(qs, 4, 6)) == got(want)
+    big = retrieve.Bm25(spark.range(3000).selectExpr("id chunk_id", "id chunk_seq", "concat('word ', id % 7) text"))
+    monkeypatch.setattr(retrieve, "PART_ROWS", 512)
+    monkeypatch.setattr(retrieve, "top", lambda scored, *_, **__: scored.withColumn("rank", F.lit(1)))
+    assert big.topk(spark.createDataFrame([("q", "word 3")], "query_id string, text string"), 5, 6).count() <= 200  # not 3000
+
+
+def test_places_of_words_of_any_script(spark):
+    rows = vectors.sha_embedding(_mixed(spark), "chunk_id", 8)
+    got = {r.chunk_id: list(r.vector) for r in rows.collect()}
+    want = {}
+    for r in _mixed(spark).select("chunk_id", text.ascii_words(F.col("text")).alias("w")).collect():
+        for w in r.w or ():
+            v = int(hashlib.sha256(w.encode()).hexdigest()[:8], 16)
+            want.setdefault(r.chunk_id, [0] * 8)[(v >> 1) % 8] += 1 if v & 1 else -1
+    assert got == {k: [x / (math.sqrt(sum(y * y for y in v)) or 1) for x in v] for k, v in want.items()}
+
+
+def test_passages_are_found_by_few_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "abcdefgh abcd"), (2, "xxabcdefg"), (3, None), (4, ""), (5, "über abc über abcdefgh"), (6, "habcdefg")], "doc_id bigint, text string").repartition(2)
+    asked = spark.createDataFrame([(1, "abcdefgh"), (2, "über"), (3, "abc"), (4, ""), (5, None), (6, "abcd"), (7, "habcdefgx"), (8, "abcdefgh")], "query_id int, passage string")
+    want = sorted(map(tuple, docs.join(asked, F.contains("text", "passage")).select("query_id", "doc_id").collect()))
+    assert sorted(map(tuple, retrieve.containing(docs, asked).collect())) == want
+    assert retrieve.containing(docs, asked.limit(0)).count() == 0
+    monkeypatch.setattr(retrieve, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, retrieve.containing(docs, asked).collect())) == want
+
+
+def test_chunks_are_given_few_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (3, ""), (4, "x yy"), (5, "p q r")], "doc_id int, text string").coalesce(1)
+    monkeypatch.setattr(text, "CHUNK_ROWS", 2)
+    got = [(r.doc_id, r.ordinal, r.text) for r in text.chunk(docs, "fixed_token", {"max_tokens": 2, "overlap": 1}).collect()]
+    assert got == [(1, k, f"{x} {y}") for k, (x, y) in enumerate(zip("abcdef", "bcdefg"))] + [(4, 0, "x yy"), (5, 0, "p q"), (5, 1, "q r")]
+
+
+def test_chunk_pairs_are_no_rows(spark, monkeypatch, capsys):
+    rng = random.Random(5)
+    say = lambda: " ".join(rng.choice(["one", "два", "Three", "œuf", "4", "-"]) for _ in range(rng.randrange(5)))
+    make = lambda tag: spark.createDataFrame([(k % 5 if k % 11 else None, f"{tag}{k}", rng.randrange(3), say()) for k in range(60)], "doc_id int, chunk_id string, span_start bigint, text string").repartition(2)
+    old, new = make("o").where("coalesce(doc_id, 0) <> 4"), make("n").where("coalesce(doc_id, 0) <> 3")
+    words = F.array_distinct(text.terms(F.col("text")))
+    met = old.select("doc_id", "chunk_id", words.alias("a")).join(new.select("doc_id", F.col("chunk_id").alias("n"), "span_start", words.alias("b")), "doc_id", "left").select("chunk_id", "n", "span_start", F.when(F.col("n").isNotNull(), align.jaccard(F.col("a"), F.col("b"))).alias("s"))
+    want = {}
+    for r in met.collect():
+        want[r.chunk_id] = min(want.get(r.chunk_id, (0, 0, "")), (-r.s, r.span_start, r.n) if r.s else (0, 0, ""))
+    for rows, n in ((1024, 4096), (2, 2)):
+        monkeypatch.setattr(align, "ROWS", rows)
+        monkeypatch.setattr(align, "WORDS", n)
+        out = align.align_words(old, new)
+        assert {r.chunk_id: (r.score, r.descendants) for r in out.collect()} == {k: (-s, [n] if -s >= 0.6 else []) for k, (s, _, n) in want.items()}
+    out.explain()
+    assert "Join" not in capsys.readouterr().out
